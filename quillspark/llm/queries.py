@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import language_id, license_scan, mixing, quality, secrets, sentencepiece_codec, sharding, topk
+from quillspark.llm import language_id, license_scan, mixing, near_dedup, quality, secrets, sentencepiece_codec, sharding, topk
 from quillspark.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digest(table(spark, sf_dir, "embeddings"))
 
