@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import language_id, license_scan, mixing, near_dedup, quality, secrets, sentencepiece_codec, sharding, topk
+from quillspark.llm import html_extract, language_id, license_scan, mixing, near_dedup, quality, secrets, sentencepiece_codec, sharding, topk
 from quillspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(table(spark, sf_dir, "documents"))
 
