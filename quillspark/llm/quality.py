@@ -162,9 +162,10 @@ def first_failed(found: Sequence[Rule], order: Sequence[int]) -> Column:
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, columns as they were."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{text}`").alias("t")).withColumn("w", words_of(F.col("t")))
-    found = rules(F.col("t"), F.col("w"))
-    return rows.where(first_failed(found, estimate(rows, found, F.col("t"))).isNull()).select("__row.*")
+    t = F.col(f"`{text}`")
+    order = estimate(df.select(t.alias("t")).withColumn("w", words_of(F.col("t"))), rules(F.col("t"), F.col("w")), F.col("t"))
+    # The words are bound within the condition: as a column they would be put in for every use when the filter is pushed down.
+    return df.where(let(words_of(t), lambda w: first_failed(rules(t, w), order)).isNull())
 
 
 def digest(documents: DataFrame) -> DataFrame:
