@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillspark.plans import stats_queries  # noqa: F401
+from quillspark.plans import stats_queries, text_queries  # noqa: F401
