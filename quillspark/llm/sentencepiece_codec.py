@@ -318,7 +318,7 @@ TEXTS_AT_ONCE = 512
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str = MODEL, decoded: str | None = None) -> DataFrame:
     """Add the piece ids of a text column and, if named, their decoding. Other columns stay."""
     model = load(path)
-    schema = df.select("*", F.expr("cast(null as array<int>)").alias(ids), *([F.lit("").alias(decoded)] if decoded else [])).schema
+    schema = df.select("*", F.expr("cast(null as array<int>)").alias(ids), *([F.expr("cast(null as string)").alias(decoded)] if decoded else [])).schema
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
