@@ -130,12 +130,16 @@ def merge_suffixes(cells: DataFrame) -> DataFrame:
 
 
 def clean(cells: DataFrame) -> DataFrame:
-    """The cleaner: symbols to their numbers, redundant columns and rows out, numbers without separators, blanks as dashes."""
-    d = drop_blank_rows(drop_equal_neighbours(cells))
-    d = merge_suffixes(merge_currency_prefixes(d))
-    d = d.withColumn("text", t.close_parenthesis(F.col("text")))
-    d = drop_subset_columns(drop_dollarless_twins(drop_percentless_twins(drop_lone_parenthesis_columns(d))))
-    return blanks_to_dashes(d.withColumn("text", t.without_separators(F.col("text"))))
+    """The whole cleaner. Each step depends on the columns that the one before has left, so a table goes through a kernel as one value: one exchange, to gather its cells."""
+    from quillspark.operators import grid_kernel as gk
+
+    @F.pandas_udf("array<array<string>>")
+    def run(grids):
+        return grids.map(lambda g: gk.clean([list(map(str, row)) for row in g]))
+
+    grids = _rows(cells, F.col("text")).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("r", "cells"))).alias("w"))
+    done = grids.select(KEY, F.posexplode(run(F.transform("w", lambda s: s["cells"]))).alias("r", "x"))
+    return done.select(KEY, "r", F.posexplode("x").alias("c", "text"))
 
 
 # -- rendering ---------------------------------------------------------------------------------------------
