@@ -56,7 +56,7 @@ class Walker(HTMLParser):
         self.skip: list[str] = []
         self.lists: list[list] = []
         self.tables: list[dict] = []
-        self.kind, self.level, self.indent = "p", 0, [0.0]
+        self.kind, self.level, self.indent, self.own = "p", 0, [0.0], 0.0  # own: the indent of the open paragraph
         self.pre = 0
         self.last_heading = ""
 
@@ -89,7 +89,7 @@ class Walker(HTMLParser):
             return  # the same heading twice in a row
         self.last_heading = text if kind == "h" else ""
         if kind == "p":
-            level = min(8, round(sum(self.indent) / 14.4))
+            level = min(8, round((sum(self.indent) + self.own) / 14.4))
         self.blocks.append((kind, level, text))
 
     # -- tags --------------------------------------------------------------------------------------------
@@ -146,8 +146,9 @@ class Walker(HTMLParser):
             self.flush()
             if self.kind == "h":
                 self.kind = "p"
-            if tag in ("p", "div", "blockquote"):
-                self.indent = [*self.indent[-8:], indent_of(style)] if tag != "p" else [*self.indent[:-1], indent_of(style)]
+            self.own = indent_of(style) if tag == "p" else 0.0
+            if tag in ("div", "blockquote"):
+                self.indent.append(indent_of(style))
         marks = []
         if tag in EMPHASIS:
             marks.append((EMPHASIS[tag],) * 2)
@@ -204,6 +205,7 @@ class Walker(HTMLParser):
             self.kind = "p"
         elif tag in PARTS:
             self.flush()
+            self.own = 0.0
             if tag in ("div", "blockquote") and len(self.indent) > 1:
                 self.indent.pop()
 
