@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.functions.repairs import repaired_markdown
 from quillspark.functions.tokens import token_count
 from quillspark.operators import html_blocks as hb, xml_forms
 from quillspark.operators.lines import assemble
@@ -26,7 +27,7 @@ def parts(submissions: DataFrame, key: str = "path", body: str = "body", to_mmd:
     named = docs.withColumn("doc_key", F.concat_ws("\x1f", F.col(key).cast("string"), F.col("seq").cast("string")))
     html = named.where(F.col("route").isin("html", "xml")).withColumn("html", sub.without_xml(F.col("content")))
     read = hb.to_markdown(html.where(F.trim("html") != ""), "doc_key", "html", to_mmd=to_mmd)
-    html_part = html.select("doc_key", key, "seq", "doc_type", titled.alias("title")).join(read, "doc_key").select(key, F.lit(DOCUMENTS).alias("grp"), "seq", F.lit("html").alias("bucket"), F.col("doc_type").alias("label"), F.concat("title", "text").alias("text"))
+    html_part = html.select("doc_key", key, "seq", "doc_type", titled.alias("title")).join(read, "doc_key").select(key, F.lit(DOCUMENTS).alias("grp"), "seq", F.lit("html").alias("bucket"), F.col("doc_type").alias("label"), F.concat("title", repaired_markdown(F.col("text"))).alias("text"))
     pdf = docs.where("route = 'pdf'").select(key, F.lit(PDFS).alias("grp"), "seq", F.lit("pdf").alias("bucket"), F.col("doc_type").alias("label"), F.lit(SKIPPED).alias("text"))
     blobs = named.where("route = 'xml'").select("doc_key", key, "seq", "form", F.posexplode(sub.xml_blobs(F.col("content"))).alias("n", "xml"))
     blobs = blobs.withColumn("blob_key", F.concat_ws("\x1f", "doc_key", F.col("n").cast("string")))
@@ -39,7 +40,7 @@ def convert(submissions: DataFrame, key: str = "path", body: str = "body", to_mm
     """(key, text, tokens): every submission as one Markdown document."""
     ordered = parts(submissions, key, body, to_mmd).withColumn("place", F.struct("grp", "seq"))
     whole = assemble(ordered.select(key, "place", "text"), key, "place", "text", "\n\n")
-    text = F.regexp_replace(until_uuencode(F.col("text")), r"\n{3,}", "\n\n")
+    text = until_uuencode(F.col("text"))
     text = without_indentation(text) if disable_indentation else text
     return whole.select(key, text.alias("text")).withColumn("tokens", token_count(F.col("text")))
 

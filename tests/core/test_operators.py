@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.functions import text as t
+from quillspark.functions import repairs, text as t
 from quillspark.operators import convert as cv, grid, grid_kernel as gk, html_blocks as hb, ocr, xml_forms as xf
 from quillspark.sources import submissions as sub
 from quillspark.streaming import ingest
@@ -127,3 +127,12 @@ def test_clean_goes_through_the_kernel(spark):
     rows = [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "x"), (1, 1, 1, "1,000")]
     got = grid.clean(spark.createDataFrame(rows, "table_id long, r int, c int, text string")).collect()
     assert sorted((r["r"], r["c"], r["text"]) for r in got) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "x"), (1, 1, "1000")]
+
+
+def test_markdown_repairs(spark):
+    rows = [
+        ("1)Foo", "1) Foo"), ("A.Bar", "A. Bar"), ("1.5 stays", "1.5 stays"), ("(a) text", "(a)&nbsp;&nbsp;&nbsp;&nbsp;text"), ("(12)Text", "(12)&nbsp;&nbsp;&nbsp;&nbsp;Text"), ("•x", "• x"), ("Rule 10b (a)", "Rule 10b(a)"),
+        ("a\n\nPage 12\n\nb", "a\n\nb"), ("**Company**'**s name**", "**Company's name**"), ("***75.2*** ***%***", "***75.2%***"), ("[a](b) , c", "[a](b), c"), ("end.Next", "end. Next"), ("5 millionshares", "5 million shares"),
+    ]
+    df = spark.createDataFrame(rows, "s string, want string").select("want", repairs.repaired_markdown(F.col("s")).alias("got"))
+    assert [r["got"] for r in df.collect()] == [w for _, w in rows]
