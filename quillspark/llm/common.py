@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows up to which a table of a few narrow columns is broadcast; beyond it the join is left to shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows up to which a checkpointed table of a few narrow columns is one task's work.
+ONE_TASK_ROWS = 100_000
 
 #: A run of what is not white space, as the word of the size counts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a table of narrow rows; one of at most ONE_TASK_ROWS becomes one partition, so that what follows needs no exchange. Larger ones stay spread out."""
+    out = cut(df)
+    return out.coalesce(1) if out.count() <= ONE_TASK_ROWS else out
+
+
 def small(df: DataFrame) -> DataFrame:
     """A checkpointed table with a broadcast hint if, counted, it is within BROADCAST_ROWS."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
