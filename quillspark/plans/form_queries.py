@@ -12,7 +12,7 @@ def _holdings(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_quantity").cast("bigint").alias("q"))
     one = F.concat(F.lit("<n1:invstOrSec><n1:name>Part & Co "), F.col("p").cast("string"), F.lit("</n1:name><n1:balance>"), F.col("q").cast("string"), F.lit("</n1:balance><n1:isLong>Y</n1:isLong></n1:invstOrSec>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("x")))), lambda s: s["x"]), "")
-    return li.groupBy("l_orderkey").agg(F.concat(F.lit('<edgarSubmission xmlns:n1="urn:x"><n1:filedDate>2024-03-09</n1:filedDate>'), rows, F.lit("</edgarSubmission>")).alias("xml")).withColumn("form", F.lit("NPORT-P"))
+    return li.groupBy("l_orderkey").agg(F.concat(F.lit('<filedForm xmlns:n1="urn:x"><n1:filedDate>2024-03-09</n1:filedDate>'), rows, F.lit("</filedForm>")).alias("xml")).withColumn("form", F.lit("NPORT-P"))
 
 
 LI_SQL = "li AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, max(l_quantity)::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS seq FROM lineitem GROUP BY l_orderkey, l_linenumber)"
@@ -26,8 +26,8 @@ def xml_holdings(spark, sf_dir):
 
 @query(
     "xml_leaves",
-    f"""WITH {LI_SQL}, u AS (SELECT DISTINCT l_orderkey AS key, '/edgarSubmission/filedDate' AS path, 0 AS ordinal, 'filedDate' AS tag, '2024-03-09' AS value FROM li UNION ALL SELECT l_orderkey, '/edgarSubmission/invstOrSec/name', seq, 'name', 'Part & Co ' || p FROM li
-        UNION ALL SELECT l_orderkey, '/edgarSubmission/invstOrSec/balance', seq, 'balance', q::VARCHAR FROM li UNION ALL SELECT l_orderkey, '/edgarSubmission/invstOrSec/isLong', seq, 'isLong', 'Y' FROM li) SELECT key, path, ordinal::INTEGER AS ordinal, tag, value FROM u""",
+    f"""WITH {LI_SQL}, u AS (SELECT DISTINCT l_orderkey AS key, '/filedForm/filedDate' AS path, 0 AS ordinal, 'filedDate' AS tag, '2024-03-09' AS value FROM li UNION ALL SELECT l_orderkey, '/filedForm/invstOrSec/name', seq, 'name', 'Part & Co ' || p FROM li
+        UNION ALL SELECT l_orderkey, '/filedForm/invstOrSec/balance', seq, 'balance', q::VARCHAR FROM li UNION ALL SELECT l_orderkey, '/filedForm/invstOrSec/isLong', seq, 'isLong', 'Y' FROM li) SELECT key, path, ordinal::INTEGER AS ordinal, tag, value FROM u""",
 )
 def xml_leaves(spark, sf_dir):
     return xf.xml_leaves(_holdings(spark, sf_dir), "l_orderkey", "xml")
@@ -35,7 +35,7 @@ def xml_leaves(spark, sf_dir):
 
 @query(
     "xml_markdown",
-    f"""WITH {LI_SQL} SELECT l_orderkey, 'edgarSubmission' AS root, 'Form N-PORT' AS title, NULL::VARCHAR AS error, CASE WHEN count(*) > 1 THEN '## Form N-PORT' || chr(10) || chr(10) || '- **Filed Date:** March 9, 2024' || chr(10) || chr(10) || '### Invst Or Sec' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+    f"""WITH {LI_SQL} SELECT l_orderkey, 'filedForm' AS root, 'Form N-PORT' AS title, NULL::VARCHAR AS error, CASE WHEN count(*) > 1 THEN '## Form N-PORT' || chr(10) || chr(10) || '- **Filed Date:** March 9, 2024' || chr(10) || chr(10) || '### Invst Or Sec' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
         || '| Name | Balance | Is Long |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| Part & Co ' || p || ' | ' || q || ' | Yes |', chr(10) ORDER BY seq) || chr(10) || chr(10) || '---'
         ELSE '## Form N-PORT' || chr(10) || chr(10) || '- **Filed Date:** March 9, 2024' || chr(10) || chr(10) || '### Invst Or Sec' || chr(10) || chr(10) || '- **Name:** Part & Co ' || max(p) || chr(10) || '- **Balance:** ' || max(q) || chr(10) || '- **Is Long:** Yes' END AS text FROM li GROUP BY l_orderkey""",
 )
@@ -64,7 +64,7 @@ TYPES = ("3", "4/A", "NPORT-P", "13F-HR", "D/A", "C-U", "CFPORTAL", "MA-I/A", "S
 )
 def form_dispatch(spark, sf_dir):
     form = F.get(F.array(*map(F.lit, TYPES)), (F.col("doc_id") % 11).cast("int"))
-    root = F.when(form.isin("3", "4/A"), "ownershipDocument").otherwise("edgarSubmission")
+    root = F.when(form.isin("3", "4/A"), "ownershipDocument").otherwise("filedForm")
     return table(spark, sf_dir, "documents").select(form.alias("form"), xf.form_title(root, form).alias("title")).groupBy("form", "title").agg(F.count("*").alias("n"))
 
 
