@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -132,25 +133,29 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]")
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+#: Texts that a worker holds as Python strings at once.
+TEXTS_AT_ONCE = 256
 
 
 def with_secrets(df: DataFrame, text: str = "text", spans: str = "spans", redacted: str | None = None, min_log_guesses: float = MIN_LOG_GUESSES) -> DataFrame:
-    """Add the spans found in a text column and, if named, the text with them masked. One pass, no shuffle."""
-    kind = f"struct<spans:{SPANS},redacted:string>" if redacted else f"struct<spans:{SPANS}>"
-
-    @F.pandas_udf(kind)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        found = [find_spans(t, min_log_guesses) for t in texts]
-        out = {"spans": [[{"kind": k, "start": i, "end": j} for k, i, j in x] for x in found]}
-        if redacted:
-            out["redacted"] = [redact(t, x) if x else t for t, x in zip(texts, found)]
-        return pd.DataFrame(out)
-
-    made = "__secrets"
-    while made in df.columns:
-        made += "_"
-    out = df.withColumn(made, scan(F.col(f"`{text}`")))
-    return out.withColumns({spans: F.col(f"{made}.spans"), **({redacted: F.col(f"{made}.redacted")} if redacted else {})}).drop(made)
+    """Add the spans found in a text column and, if named, the text with them masked; a column of either name is replaced. One pass, no shuffle."""
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (spans, redacted)]) if text not in (spans, redacted) else df
+    place = kept.columns.index(text)
+    schema = kept.select("*", F.expr(f"cast(null as {SPANS})").alias(spans), *([F.expr("cast(null as string)").alias(redacted)] if redacted else [])).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                b = whole.slice(i, TEXTS_AT_ONCE)
+                texts = b.column(place).to_pylist()
+                found = [find_spans(t, min_log_guesses) for t in texts]
+                columns = [*b.columns, pa.array([[{"kind": k, "start": i, "end": j} for k, i, j in x] for x in found], _SPANS)]
+                if redacted:
+                    columns.append(pa.array([redact(t, x) if x else t for t, x in zip(texts, found)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of new segments that one suffix array indexes, and segments whose ids a worker remembers.
-INDEXED, REMEMBERED = 400_000, 400_000
+INDEXED, REMEMBERED = 200_000, 250_000
 #: Pairs of neighbours of which a worker remembers whether they can be.
-PAIRS = 500_000
+PAIRS = 300_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 _NONE = 1 << 30
 
@@ -143,8 +143,9 @@ class Pieces:
 
     def _occurrences(self, symbols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, number among the used pieces) of all occurrences of all pieces in n symbols (padded behind)."""
-        windows = np.lib.stride_tricks.sliding_window_view(symbols, self.lanes * 4)[:n]
-        keys = self._pack(windows)
+        keys = np.zeros((n, self.lanes), np.uint64)
+        for k in range(self.lanes * 4):
+            keys[:, k // 4] |= symbols[k : k + n].astype(np.uint64) << np.uint64(48 - 16 * (k % 4))
         array = np.lexsort(keys.T[::-1])
         keys = keys[array]
 
@@ -163,9 +164,10 @@ class Pieces:
 
         begin, end = search(self.low), search(self.high)
         counts = end - begin
-        piece = np.repeat(np.arange(len(counts)), counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return array[begin[piece] + offset], piece
+        piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        place = np.arange(counts.sum(), dtype=np.int32)
+        place += np.repeat((begin - np.cumsum(counts) + counts).astype(np.int32), counts)
+        return array[place].astype(np.int32), piece
 
     def encode_segments(self, segments: list[str]) -> list[bytes]:
         """The ids of each segment, as int32 bytes."""
@@ -178,13 +180,13 @@ class Pieces:
         symbols[at] = self.table[codes]
         begin = np.zeros(n + 1, bool)
         begin[first] = True
-        depth = np.zeros(n + 1, np.int64)  # place within the segment
+        depth = np.zeros(n + 1, np.int32)  # place within the segment
         depth[: n] = np.arange(n) - np.repeat(first, lens + 1)
 
         start, number = self._occurrences(symbols, n)
-        piece, end = self.use[number], start + self.lens[number]
-        odd = at[symbols[at] == 0]  # characters in no piece: an edge of their own
-        start, piece, end = np.concatenate([start, odd]), np.concatenate([piece, np.full(len(odd), -1)]), np.concatenate([end, odd + 1])
+        piece, end = self.use[number].astype(np.int32), start + self.lens[number].astype(np.int32)
+        odd = at[symbols[at] == 0].astype(np.int32)  # characters in no piece: an edge of their own
+        start, piece, end = np.concatenate([start, odd]), np.concatenate([piece, np.full(len(odd), -1, np.int32)]), np.concatenate([end, odd + 1])
         order = np.argsort(depth[start] + (end - start), kind="stable")  # by the place where they end
         start, piece, end = start[order], piece[order], end[order]
         level = depth[start] + (end - start)
@@ -201,7 +203,7 @@ class Pieces:
             ask = ~free & (before >= 0)
             ok = free.copy()
             if ask.any():
-                pairs, inverse = np.unique(before[ask] * size + p[ask], return_inverse=True)
+                pairs, inverse = np.unique(before[ask] * np.int64(size) + p[ask], return_inverse=True)
                 known = [memo.get(k) for k in pairs.tolist()]
                 for i, k in enumerate(known):
                     if k is None:
@@ -312,7 +314,7 @@ def load(path: str = MODEL) -> Pieces:
 
 
 #: Texts that a worker cuts into segments at once.
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 128
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str = MODEL, decoded: str | None = None) -> DataFrame:
