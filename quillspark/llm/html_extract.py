@@ -38,6 +38,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style noscript template svg math iframe object select option textarea button datalist canvas audio video map".split())
+#: What a head can hold: a start of anything else, or text, ends it where its end tag is left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
+IN_TABLE = frozenset("caption tbody td tfoot th thead tr".split())
 #: A start of one of these ends an open one of those, unless the barrier is in between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -81,15 +84,46 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Block("html", frozenset(), None)
-        self.links = self.unseen = 0
+        self.links = 0
+        self.unseen: list[str] = []  # the open unseen element, and what is open in it, outermost first
+
+    def _leave(self, tag):
+        """Close the innermost open element of that tag among the unseen ones, with all that is in it."""
+        del self.unseen[len(self.unseen) - 1 - self.unseen[::-1].index(tag) :]
+
+    def _is_open(self, tag):
+        node = self.at
+        while node.parent and node.tag != tag:
+            node = node.parent
+        return node.parent is not None
+
+    def _ends_unseen(self, tag):
+        """Whether a start tag shows that the unseen elements were over, their end tags left out."""
+        if self.unseen[0] == "head":
+            return tag == "body" or self.unseen == ["head"] and tag not in IN_HEAD
+        return tag in IN_TABLE and "table" not in self.unseen and "template" not in self.unseen and self._is_open("table")
+
+    def _in_plain(self):
+        """Whether what looks like tags is text, up to the end tag."""
+        return bool(self.unseen) and (self.unseen[-1] == "textarea" or self.unseen[-1] == "title" and "svg" not in self.unseen)
+
+    def _end_for(self, tag):
+        """End what a start tag ends among the unseen elements; whether the tag is used up by that."""
+        if self.unseen and self._ends_unseen(tag):
+            self.unseen.clear()
+        if "select" in self.unseen and tag in ("select", "input", "textarea"):
+            self._leave("select")
+            return tag == "select"
+        return False
 
     def handle_starttag(self, tag, attrs):
-        if self.unseen:
-            if tag in UNSEEN and tag not in VOID:
-                self.unseen += 1
+        if self._in_plain() or self._end_for(tag):
             return
-        if tag in UNSEEN:
-            self.unseen += 1
+        if tag in ("option", "button") and tag in self.unseen:
+            self._leave(tag)
+        if tag in UNSEEN or self.unseen:
+            if tag in UNSEEN or tag in BLOCKS and tag not in ("html", "hr"):
+                self.unseen.append(tag)
             return
         if tag == "html":
             return
@@ -121,15 +155,22 @@ class _Tree(HTMLParser):
         self.at = node
 
     def handle_startendtag(self, tag, attrs):
+        if not self._in_plain():
+            self._end_for(tag)
         if tag == "br" and not self.unseen:
             self.at.items.append(" ")
 
     def handle_endtag(self, tag):
-        if tag in UNSEEN:
-            self.unseen = max(0, self.unseen - 1)
+        if self._in_plain() and tag != self.unseen[-1]:
             return
-        if self.unseen:
+        if tag in self.unseen:
+            self._leave(tag)
             return
+        if self.unseen:
+            # The end of a block around the unseen elements ends them; what a template holds, and a paragraph around a button, is apart.
+            if tag not in BLOCKS or "template" in self.unseen or tag == "p" and "button" in self.unseen or not self._is_open(tag):
+                return
+            self.unseen.clear()
         if tag == "a":
             self.links = 0
         elif tag in BLOCKS and tag not in ("html", "body"):
@@ -140,6 +181,8 @@ class _Tree(HTMLParser):
                 self.at, self.links = node.parent, 0
 
     def handle_data(self, data):
+        if self.unseen == ["head"] and data.strip():
+            self.unseen.clear()
         if not self.unseen:
             self.at.items.append(data)
             if self.links:

@@ -170,6 +170,35 @@ def test_html_parsing_details(model):
     assert html_extract.extract_all([None, "", "<p"], model) == ["", "", ""]
 
 
+@pytest.mark.parametrize(
+    "start, unseen",
+    [
+        ("<html><head><title>t</title></head><body><p>before</p><select><option>A<option>B</select>", "AB"),
+        ("<html><head><title>t</title><meta name=x><script>s()</script><body><p>before</p>", "ts"),
+        ("<html><head><title>t</title><p>before</p>", "t"),
+        ("<head><style>s</style>\n before", "s"),
+        ("<p>before</p><select><option>A<optgroup label=x><option>B<option>C</optgroup></select><datalist><option>D</datalist>", "ABCD"),
+        ("<p>before</p><select><option>A<select>", "A"),
+        ("<head><title>The <body> element</title><meta name=x><body><p>before</p><textarea></form><button></textarea>", "x"),
+        ("<p>before</p><div><button>A<div>B</div></div>", "AB"),
+        ("<table><tr><td>before<td><button>A<td></table>", "A"),
+        ("<p>before</p><div><svg><title>A</title><g></g></svg></option></div>", "A"),
+    ],
+)
+def test_unseen_elements_end_where_their_end_tags_are_left_out(start, unseen):
+    nodes = html_extract.in_order(html_extract.parse(start + "<article><p>One text.</p><p>Another.</p></article>"))
+    assert html_extract.text_of(nodes, np.full(len(nodes), html_extract.IN)) == "before\nOne text.\nAnother."
+
+
+def test_articles_behind_optional_end_tags_are_whole(model):
+    page = html_extract.made_page(1003)
+    want = html_extract.extract_all([page], model)[0]
+    assert len(want) > 300
+    with_options = page.replace("<body>", "<body><form><select><option>A<option>B</select></form>")
+    open_head = page.replace("<body>", "<head><title>t</title><body>")
+    assert html_extract.extract_all([with_options, open_head], model) == [want, want]
+
+
 def test_decoding_never_contradicts_an_ancestor():
     nodes = html_extract.in_order(html_extract.parse("<div>a<p>b</p><div><p>c</p></div></div>"))
     place = {id(x): i for i, x in enumerate(nodes)}
