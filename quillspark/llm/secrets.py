@@ -4,7 +4,10 @@ The base kinds are patterns over the whole text. The method adds the kind ``gues
 behind a credential word (``pwd: ...``, ``passphrase is ...``, ``Authorization: Bearer ...``) counts
 as a secret if an attacker needs many guesses for it. The number of guesses is the cheapest
 segmentation of the value into dictionary words, dates, repeats, keyboard walks and brute-force
-spans, found by dynamic programming over its end positions.
+spans, found by dynamic programming over its end positions. A brute-force character costs as many tries as
+the kinds of characters in the value have members. The dictionaries are COMMON_WORDS and the words and parts of
+words of the public piece model, each ranked by itself; a word counts with its best rank, so that a word or two of
+prose behind a credential word are cheap.
 
 Defined results: a null text has no spans; a null doc_id stays null; repeated rows each get their
 own result; extra input columns are not read. Values are scored whole up to ``VALUE_WINDOW``
@@ -17,25 +20,28 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.llm.sentencepiece_codec import MARK, MODEL
+
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-#: A letter of each credential word must be there before CONTEXT is tried.
+#: A credential word can stand behind an underscore, as in DB_PASSWORD, but not behind a letter or digit.
 CONTEXT = re.compile(
-    r"(?ai:\b(?:pwd|pass|passphrase|passcode|password|passwd|credentials?|secret|client_secret|private_key|access_key|auth_token|token|api_?key|authorization|bearer))"
+    r"(?ai:(?<![a-z0-9])(?:pwd|pass|passphrase|passcode|password|passwd|credentials?|secret|client_secret|private_key|access_key|auth_token|token|api_?key|authorization|bearer))"
     r"[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20(?:is|was)\x20)(?ai:(?:bearer|basic)\x20+)?[\"']?([^\s\"'<>,;]{6,})"
 )
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret.
 MIN_LOG_GUESSES = 10.0
 VALUE_WINDOW = 64
-#: log10 of the tries for one more character that nothing explains.
-BRUTE = 1.0
+#: Kinds of characters that brute force tries, and how many of each there are; others are symbols.
+CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[^a-zA-Z0-9]"), 33))
 
 #: Words that guessers try first, in the order of trying.
 COMMON_WORDS = (
@@ -49,7 +55,9 @@ COMMON_WORDS = (
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _LEET = str.maketrans("430157$@!", "aeoistsai")
 _RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, _RANK))
+#: Letters of the shortest word, and of the shortest part of a word, that come from the piece model.
+SHORTEST_WORD, SHORTEST_PART = 3, 4
+LONGEST_WORD = 24
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
 
 
@@ -60,13 +68,30 @@ def _beside() -> set[str]:
 _NEXT = _beside()
 
 
-def _pieces(value: str) -> Iterator[tuple[int, int, float]]:
+@cache
+def dictionary(path: str = MODEL) -> dict[str, int]:
+    """The best rank of every word among the common ones or those of the piece model. To be read on the driver."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = map(sp.id_to_piece, range(sp.get_piece_size()))
+    words = dict.fromkeys(w.lower() for p in pieces if (w := p.lstrip(MARK)).isalpha() and len(w) >= (SHORTEST_WORD if p.startswith(MARK) else SHORTEST_PART))
+    ranks = {w: i for i, w in enumerate(words, 1)}
+    return ranks | {w: min(i, ranks.get(w, i)) for w, i in _RANK.items()}
+
+
+def brute_cost(value: str) -> float:
+    """log10 of the tries for one more character that nothing explains."""
+    return math.log10(sum(n for kind, n in CLASSES if kind.search(value)) or 1)
+
+
+def _pieces(value: str, brute: float, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 guesses) of all that something other than brute force explains."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(low[i:j]) or _RANK.get(plain[i:j]):
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+            if rank := ranks.get(low[i:j]) or ranks.get(plain[i:j]):
                 odd = (low[i:j] != value[i:j]) + (plain[i:j] != low[i:j])
                 yield i, j, math.log10(rank) + math.log10(4) * odd
         for m in [_DATE.match(value, i)] if value[i].isdigit() else []:
@@ -82,19 +107,20 @@ def _pieces(value: str) -> Iterator[tuple[int, int, float]]:
             while j < n and value[j] == value[j - period]:
                 j += 1
             if (times := (j - i) // period) >= 2 and times * period >= 3:
-                yield i, i + times * period, BRUTE * period + math.log10(times)
+                yield i, i + times * period, brute * period + math.log10(times)
 
 
-def log_guesses(value: str) -> float:
+def log_guesses(value: str, ranks: dict[str, int] | None = None, brute: float | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation of a value needs; its windows add up."""
+    ranks, brute = dictionary() if ranks is None else ranks, brute_cost(value) if brute is None else brute
     if len(value) > VALUE_WINDOW:
-        return sum(log_guesses(value[i : i + VALUE_WINDOW]) for i in range(0, len(value), VALUE_WINDOW))
+        return sum(log_guesses(value[i : i + VALUE_WINDOW], ranks, brute) for i in range(0, len(value), VALUE_WINDOW))
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _pieces(value):
+    for i, j, cost in _pieces(value, brute, ranks):
         ends.setdefault(j, []).append((i, cost))
     best = [0.0]
     for j in range(1, len(value) + 1):
-        best.append(min([best[j - 1] + BRUTE, *(best[i] + max(cost, 0.3) for i, cost in ends.get(j, ()))]))
+        best.append(min([best[j - 1] + brute, *(best[i] + max(cost, 0.3) for i, cost in ends.get(j, ()))]))
     return best[-1]
 
 
@@ -105,21 +131,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, min_log_guesses: float = MIN_LOG_GUESSES) -> list[tuple[str, int, int]]:
-    """The values in a credential context that need many guesses. Plain prose behind 'pass is' has none: a value needs a digit or mixed case."""
+def guess_spans(text: str, min_log_guesses: float = MIN_LOG_GUESSES, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
+    """The values in a credential context that need many guesses."""
     found = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:)!?")
-        if len(value) >= 6 and (any(c.isdigit() for c in value) or value[1:].lower() != value[1:] != value[1:].upper()) and log_guesses(value) >= min_log_guesses:
+        if len(value) >= 6 and log_guesses(value, ranks) >= min_log_guesses:
             found.append(("guess", m.start(1), m.start(1) + len(value)))
     return found
 
 
-def find_spans(text: str | None, min_log_guesses: float = MIN_LOG_GUESSES) -> list[tuple[str, int, int]]:
+def find_spans(text: str | None, min_log_guesses: float = MIN_LOG_GUESSES, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, end exclusive, by start, then kind."""
     if not text:
         return []
-    return sorted(base_spans(text) + guess_spans(text, min_log_guesses), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(base_spans(text) + guess_spans(text, min_log_guesses, ranks), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]") -> str:
@@ -144,12 +170,14 @@ def with_secrets(df: DataFrame, text: str = "text", spans: str = "spans", redact
     place = kept.columns.index(text)
     schema = kept.select("*", F.expr(f"cast(null as {SPANS})").alias(spans), *([F.expr("cast(null as string)").alias(redacted)] if redacted else [])).schema
 
+    ranks = dictionary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 b = whole.slice(i, TEXTS_AT_ONCE)
                 texts = b.column(place).to_pylist()
-                found = [find_spans(t, min_log_guesses) for t in texts]
+                found = [find_spans(t, min_log_guesses, ranks) for t in texts]
                 columns = [*b.columns, pa.array([[{"kind": k, "start": i, "end": j} for k, i, j in x] for x in found], _SPANS)]
                 if redacted:
                     columns.append(pa.array([redact(t, x) if x else t for t, x in zip(texts, found)], pa.string()))

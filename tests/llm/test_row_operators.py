@@ -118,6 +118,35 @@ def test_guess_spans_leave_prose_alone():
     assert [text[i:j] for _, i, j in secrets.guess_spans(text)] == ["x8Kq!vT2#mZpR7"]
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("pwd: xK9#mQ2z", "xK9#mQ2z"),
+        ("password: aB3$xYz9", "aB3$xYz9"),
+        ("DB_PASSWORD=x8Kq!vT2#mZp", "x8Kq!vT2#mZp"),
+        ("db_pass=x8Kq!vT2#mZp", "x8Kq!vT2#mZp"),
+        ("passphrase is qzvkxjwpgm", "qzvkxjwpgm"),
+        ("secret: QZVKXJWPGM", "QZVKXJWPGM"),
+    ],
+)
+def test_short_prefixed_and_one_case_values_are_found_and_masked(text, value):
+    spans = secrets.find_spans(text)
+    assert value in [text[i:j] for k, i, j in spans if k == "guess"]
+    assert value not in secrets.redact(text, spans)
+
+
+def test_known_words_behind_credential_words_are_no_secrets():
+    for text in ["the password is required", "token: authentication", "secret = communication", "compass: qzvkxjwpgm", "pwd: letmein123", "password: your_password_here", "pass was 20190517", "token: 123456789"]:
+        assert secrets.guess_spans(text) == [], text
+
+
+def test_random_values_of_eight_characters_are_mostly_found():
+    r = np.random.default_rng(3)
+    for pool, least in (("abcdefghijklmnopqrstuvwxyz0123456789", 0.9), ("abcdefghijklmnopqrstuvwxyz", 0.8), ("abcdefghijklmABCDEFGHIJKLM0123456789!#$%&*+", 0.98)):
+        values = ["".join(r.choice(list(pool), 8)) for _ in range(300)]
+        assert np.mean([secrets.log_guesses(v) >= secrets.MIN_LOG_GUESSES for v in values]) >= least, pool
+
+
 def test_secret_digest_and_redaction(docs):
     rows = [*AWKWARD, (9, "token = 0123456789abcdef0123456789abcdef.")]
     got = by_id(secrets.digest(docs(rows, extra=True)))
