@@ -238,6 +238,10 @@ def features(nodes: list[Block], blank: bool = False) -> np.ndarray:
         total[j] += total[i]
         height[j] = max(height[j], height[i] + 1)
     page = max(1.0, total[0, 0])
+    kinds: dict[tuple[int, str], int] = {}  # of siblings: those of a tag under a parent
+    kind = np.array([kinds.setdefault((id(x.parent), x.tag), len(kinds)) for x in nodes])
+    alike = np.bincount(kind)
+    mean_alike = np.bincount(kind, total[:, 0]) / alike
     out = np.zeros((n, FEATURES))
     bad_above, good_above = np.zeros(n), np.zeros(n)
     before = np.cumsum(own[:, 0]) - own[:, 0]
@@ -248,11 +252,10 @@ def features(nodes: list[Block], blank: bool = False) -> np.ndarray:
         j = place[id(x.parent)] if x.parent else i
         bad_above[i], good_above[i] = (bad_above[j] + bad, good_above[j] + good) if x.parent else (bad, good)
         siblings = x.parent.children if x.parent else [x]
-        alike = [place[id(s)] for s in siblings if s.tag == x.tag] if len(siblings) < 200 else [i]
         t, o, up = total[i], own[i], total[j]
         out[i] = (
             t[0], o[0], t[0] / page, t[0] / t[4], t[1] / max(1.0, t[0]), t[2], o[2], t[3] / max(1.0, t[2]), t[4], x.depth,
-            height[i], len(x.children), len(siblings), len(alike), np.mean(total[alike, 0]), before[i] / page, i / n, up[0] / page, up[1] / max(1.0, up[0]), up[0] / up[4],
+            height[i], len(x.children), len(siblings), alike[kind[i]], mean_alike[kind[i]], before[i] / page, i / n, up[0] / page, up[1] / max(1.0, up[0]), up[0] / up[4],
             tag == "p", tag in HEADINGS, tag in ("li", "ul", "ol"), tag == "div", tag in ("td", "tr", "table"), good, bad, good_above[i], bad_above[i], tag == "blockquote",
         )
     return out

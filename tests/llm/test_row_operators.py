@@ -228,6 +228,26 @@ def test_articles_behind_optional_end_tags_are_whole(model):
     assert html_extract.extract_all([with_options, open_head], model) == [want, want]
 
 
+@pytest.mark.parametrize("count", [150, 199, 200, 600])
+def test_sibling_statistics_are_over_all_alike_siblings(count):
+    items = "".join(f"<p>{'x' * (i % 7 + 1)}</p>" for i in range(count))
+    nodes = html_extract.in_order(html_extract.parse(f"<article><h1>Title</h1>{items}<div>y</div></article>"))
+    x = html_extract.features(nodes)
+    paragraphs = [i for i, b in enumerate(nodes) if b.tag == "p"]
+    assert (x[paragraphs, 13] == count).all() and np.allclose(x[paragraphs, 14], np.mean([i % 7 + 1 for i in range(count)]))
+    assert [x[i, 13] for i, b in enumerate(nodes) if b.tag in ("html", "h1", "div")] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("count", [199, 200, 700])
+def test_articles_of_hundreds_of_paragraphs_are_whole(model, count):
+    said = [f"This is paragraph number {i}, which has a few words, and a stop." for i in range(count)]
+    body = f"<h1>A title of words</h1>{''.join(f'<p>{t}</p>' for t in said)}"
+    around = "<html><body><nav><ul><li><a href=/>home</a></li></ul></nav>{}<footer>&copy; me</footer></body></html>"
+    pages = [around.format(body), around.format(f"<article>{body}</article>")]
+    bare, marked = (t.split("\n") for t in html_extract.extract_all(pages, model))
+    assert [t for t in bare if t in set(said)] == said and marked == ["A title of words", *said]
+
+
 def test_decoding_never_contradicts_an_ancestor():
     nodes = html_extract.in_order(html_extract.parse("<div>a<p>b</p><div><p>c</p></div></div>"))
     place = {id(x): i for i, x in enumerate(nodes)}
