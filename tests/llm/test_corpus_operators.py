@@ -152,6 +152,36 @@ def test_near_copies_share_a_class_and_others_do_not(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values()) and kept.columns == docs(rows, extra=True).columns
 
 
+def scattered(n, edits, seed):
+    """n words, and the same with as many of them replaced."""
+    r = random.Random(seed)
+    a = [f"w{r.getrandbits(48)}" for _ in range(n)]
+    b = list(a)
+    for i in r.sample(range(n), edits):
+        b[i] = f"x{r.getrandbits(48)}"
+    return " ".join(a), " ".join(b)
+
+
+@pytest.mark.parametrize("n, edits, least", [(200, 16, 0.99), (200, 30, 0.97), (200, 40, 0.9), (60, 12, 0.9), (40, 8, 0.97), (15, 3, 0.97), (5, 1, 0.97)])
+def test_pairs_at_the_stated_similarity_meet(n, edits, least):
+    hashed, met = near_dedup.Hasher(), 0
+    for seed in range(200):
+        a, b = (hashed(near_dedup.words_of(t)) for t in scattered(n, edits, seed))
+        assert near_dedup.alike(*((w >> np.uint64(1)).astype(np.int64) for w in (a, b)))
+        x, y = near_dedup.sketch(a), near_dedup.sketch(b)
+        met += bool((x == y).any())
+    assert met >= least * 200
+
+
+def test_scattered_changes_are_found_and_more_of_them_are_not(docs):
+    rows = [(100 * g + k, t) for g in range(1, 21) for k, t in enumerate(scattered(200, 36, g))]
+    rows += [(5000 + 100 * g + k, t) for g in range(1, 11) for k, t in enumerate(scattered(12, 2, 1000 + g))]
+    rows += [(9000 + 100 * g + k, t) for g in range(1, 11) for k, t in enumerate(scattered(200, 44, 2000 + g))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.digest(docs(rows)).collect()}
+    assert sum(got[i] == i - 1 for i in got if i % 100 and i < 9000) >= 29
+    assert all(got[i] == i for i in got if i % 100 == 0 or i >= 9000)
+
+
 def test_order_matters(docs):
     words = prose(3, 400).split()
     halves = " ".join(words[200:] + words[:200])
