@@ -197,6 +197,16 @@ def test_near_duplicates_of_awkward_rows(docs):
     assert near_dedup.digest(docs([])).count() == 0 == near_dedup.dedup(docs([])).count()
 
 
+def test_one_row_of_a_class_stays_whatever_the_ids(docs):
+    a, b, c, d = (prose(i, 120) for i in range(4))
+    rows = [(None, a), (None, a), (None, changed(a, 1, 3)), (1, b), (1, changed(b, 2, 3)), (None, b), (7, c), (7, d), (9, d), (None, ""), (None, None), (11, ""), (11, "")]
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.dedup(docs(rows)).collect()]
+    count = lambda *texts: sum(t in texts for _, t in kept)
+    assert count(rows[0][1], rows[2][1]) == 1 == count(rows[3][1], rows[4][1])
+    assert [i for i, t in kept if t in (rows[3][1], rows[4][1])] == [1]
+    assert sorted(map(repr, (x for x in kept if x[1] in (c, d, "", None)))) == sorted(map(repr, [(7, c), (7, d), (None, ""), (None, None), (11, "")]))
+
+
 def test_components(spark):
     edges = [(b"%d" % a, b"%d" % b) for a, b in [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 8), (6, 6)]]
     got = near_dedup.components(spark.createDataFrame(edges, "node binary, pivot binary")).collect()
