@@ -4,25 +4,28 @@ The base kinds are patterns over the whole text. The method adds the kind ``gues
 behind a credential word (``pwd: ...``, ``passphrase is ...``, ``Authorization: Bearer ...``) counts
 as a secret if an attacker needs many guesses for it. The number of guesses is the cheapest
 segmentation of the value into dictionary words, dates, repeats, keyboard walks and brute-force
-spans, found by dynamic programming over its end positions. A brute-force character costs as many tries as
-the kinds of characters in the value have members. The dictionaries are COMMON_WORDS and the words and parts of
-words of the public piece model, each ranked by itself; a word counts with its best rank, so that a word or two of
-prose behind a credential word are cheap.
-
-Defined results: a null text has no spans; a null doc_id stays null; repeated rows each get their
-own result; extra input columns are not read. Values are scored whole up to ``VALUE_WINDOW``
-characters at a time: longer values are cut into windows whose costs add up, so no part is skipped.
+spans, found by dynamic programming over its end positions; values are scored whole, whatever their length:
+
+* a brute-force character costs as many tries as the kinds of characters in the value have members;
+* a word costs its rank, four times that with capitals and again with digits for letters. The dictionaries are COMMON_WORDS and
+  the words and parts of words of the public piece model, each ranked by itself; a word counts with its best rank;
+* a date costs the days (of LIKELY_YEARS years) or months or years it could be;
+* a keyboard walk of three keys or more costs its first key and way, and for every further key a little if it goes on straight
+  and as many tries as a key has neighbours if it turns;
+* a repeat costs what its unit of up to LONGEST_UNIT characters costs, times how often that comes.
+
+Defined results: a null or empty text has no spans; a null doc_id stays null; repeated rows each get their
+own result; overlapping spans of two kinds are both kept; an empty table gives no rows; extra input columns are carried along by
+``with_secrets``, where a column of the name of one that is added is replaced, and left out by ``digest``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,7 +42,9 @@ CONTEXT = re.compile(
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret.
 MIN_LOG_GUESSES = 10.0
-VALUE_WINDOW = 64
+#: Characters of the longest unit of a repeat.
+LONGEST_UNIT = 64
+LIKELY_YEARS = 60
 #: Kinds of characters that brute force tries, and how many of each there are; others are symbols.
 CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[^a-zA-Z0-9]"), 33))
 
@@ -58,14 +63,33 @@ _RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
 #: Letters of the shortest word, and of the shortest part of a word, that come from the piece model.
 SHORTEST_WORD, SHORTEST_PART = 3, 4
 LONGEST_WORD = 24
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+#: Kinds of dates and log10 of how many there are.
+DATES = (
+    (re.compile(_YEAR), math.log10(LIKELY_YEARS)),
+    (re.compile(rf"{_YEAR}[-/.]?{_MONTH}"), math.log10(12 * LIKELY_YEARS)),
+    (re.compile(rf"{_YEAR}[-/.]?{_MONTH}[-/.]?{_DAY}|{_DAY}[-/.]?{_MONTH}[-/.]?{_YEAR}|{_DAY}[-/.]{_MONTH}[-/.]\d\d"), math.log10(365 * LIKELY_YEARS)),
+    (re.compile(rf"{_DAY}[-/.]{_MONTH}"), math.log10(365)),
+)
+SHORTEST_DATE, LONGEST_DATE = 3, 10
+#: log10 of the tries for the first key of a walk and its way, for a key straight on, and for a turn.
+WALK_START, STRAIGHT, TURN = math.log10(4 * 47), 0.05, math.log10(6)
+#: log10 of the tries that any word, date, walk or repeat costs at least.
+LEAST = 0.3
 
 
-def _beside() -> set[str]:
-    return {r[i] + r[i + d] for r in KEY_ROWS for i in range(len(r)) for d in (-1, 1) if 0 <= i + d < len(r)} | {a + b for up, low in zip(KEY_ROWS, KEY_ROWS[1:]) for i, a in enumerate(up) for b in low[max(0, i - 1) : i + 1]}
+def _ways() -> dict[str, tuple[int, int]]:
+    """Two keys that lie side by side, and the way from one to the other."""
+    ways = {r[i] + r[i + d]: (0, d) for r in KEY_ROWS for i in range(len(r)) for d in (-1, 1) if 0 <= i + d < len(r)}
+    for up, low in zip(KEY_ROWS, KEY_ROWS[1:]):
+        for i, a in enumerate(up):
+            for d in (-1, 0):
+                if 0 <= i + d < len(low):
+                    ways[a + low[i + d]], ways[low[i + d] + a] = (1, d), (-1, -d)
+    return ways
 
 
-_NEXT = _beside()
+_WAYS = _ways()
 
 
 @cache
@@ -85,42 +109,97 @@ def brute_cost(value: str) -> float:
     return math.log10(sum(n for kind, n in CLASSES if kind.search(value)) or 1)
 
 
-def _pieces(value: str, brute: float, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of all that something other than brute force explains."""
-    n, low = len(value), value.lower()
+def word_cost(part: str, ranks: dict[str, int]) -> float | None:
+    """log10 of the guesses for a part of a value as a word, None if it is none."""
+    low = part.lower()
     plain = low.translate(_LEET)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if rank := ranks.get(low[i:j]) or ranks.get(plain[i:j]):
-                odd = (low[i:j] != value[i:j]) + (plain[i:j] != low[i:j])
-                yield i, j, math.log10(rank) + math.log10(4) * odd
-        for m in [_DATE.match(value, i)] if value[i].isdigit() else []:
-            if m:
-                yield i, m.end(), math.log10(365 * 60) if m.end() - i > 4 else math.log10(60)
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in _NEXT:
-            j += 1
-            if j - i >= 3:
-                yield i, j, math.log10(4 * 47) + 0.4 * math.log10(j - i)
-        for period in range(1, min(8, (n - i) // 2) + 1):
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
-            if (times := (j - i) // period) >= 2 and times * period >= 3:
-                yield i, i + times * period, brute * period + math.log10(times)
-
-
-def log_guesses(value: str, ranks: dict[str, int] | None = None, brute: float | None = None) -> float:
-    """log10 of the guesses that the cheapest segmentation of a value needs; its windows add up."""
+    if rank := ranks.get(low) or ranks.get(plain):
+        return max(LEAST, math.log10(rank) + math.log10(4) * ((low != part) + (plain != low)))
+    return None
+
+
+def date_cost(part: str) -> float | None:
+    """log10 of the guesses for a part of a value as a date, None if it is none."""
+    return min((cost for kind, cost in DATES if kind.fullmatch(part)), default=None)
+
+
+class _Repeats:
+    """The cheapest repeats that end at a place of a value, place after place.
+
+    Repeats of one unit that end here differ in where they began. Their costs grow by the logarithm of how often the unit came, the slower
+    the earlier they began: an earlier one that is no dearer now never will be, and later ones behind it are dropped.
+    """
+
+    def __init__(self, value: str, unit_cost):
+        self.value, self.unit_cost = value, unit_cost
+        self.alike: dict[int, int] = {}  # by period: how many characters up to here equal the one a period before
+        self.began: dict[tuple[int, int], list[int]] = {}  # by period and place within it: where repeats began
+
+    def until(self, j: int, best: list[float]) -> float:
+        """log10 of the guesses for the value up to j, if a repeat ends there."""
+        value, alike, c = self.value, self.alike, self.value[j - 1]
+        now: dict[int, int] = {}
+        first, k = max(0, j - 1 - LONGEST_UNIT), value.rfind(c, max(0, j - 1 - LONGEST_UNIT), j - 1)
+        while k >= 0:
+            now[j - 1 - k] = alike.get(j - 1 - k, 0) + 1
+            k = value.rfind(c, first, k)
+        for p in [p for p in self.alike if p not in now]:
+            for at in range(p):
+                self.began.pop((p, at), None)
+        self.alike, least = now, math.inf
+        for p, n in now.items():
+            if n < p:
+                continue
+            unit = value[j - p : j]
+            cost = max(LEAST, self.unit_cost(unit))
+            # A unit that is itself a repeat and costs no less than as one adds nothing to the repeat of its own unit.
+            if any(p % q == 0 and now[q] >= p - q and cost >= max(LEAST, self.unit_cost(unit[:q])) + math.log10(p // q) for q in now if q < p):
+                continue
+            began = self.began.setdefault((p, j % p), [])
+            if j - 2 * p >= 0 and (not began or began[-1] < j - 2 * p):
+                began.append(j - 2 * p)
+            # One character has to come three times.
+            costs = [best[i] + math.log10((j - i) // p) if j - i >= 3 else math.inf for i in began]
+            kept = [k for k, x in enumerate(costs) if x == math.inf or x < min(costs[:k], default=math.inf)]
+            self.began[p, j % p] = [began[k] for k in kept]
+            if (cheapest := min(costs)) < math.inf:
+                least = min(least, cheapest + cost)
+        return least
+
+
+def log_guesses(value: str, ranks: dict[str, int] | None = None, brute: float | None = None, units: dict[str, float] | None = None) -> float:
+    """log10 of the guesses that the cheapest segmentation of a value needs. units: what units of repeats in it cost, filled on the way."""
     ranks, brute = dictionary() if ranks is None else ranks, brute_cost(value) if brute is None else brute
-    if len(value) > VALUE_WINDOW:
-        return sum(log_guesses(value[i : i + VALUE_WINDOW], ranks, brute) for i in range(0, len(value), VALUE_WINDOW))
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _pieces(value, brute, ranks):
-        ends.setdefault(j, []).append((i, cost))
+    n, low = len(value), value.lower()
+    if len(low) != n:  # a few capitals have a lower case of two characters
+        low = "".join(x if len(x) == 1 else c for c in value for x in [c.lower()])
+    units = {} if units is None else units
+
+    def unit_cost(unit: str) -> float:
+        if unit not in units:
+            units[unit] = brute if len(unit) == 1 else log_guesses(unit, ranks, brute, units)
+        return units[unit]
+
+    repeats = _Repeats(value, unit_cost)
     best = [0.0]
-    for j in range(1, len(value) + 1):
-        best.append(min([best[j - 1] + brute, *(best[i] + max(cost, 0.3) for i, cost in ends.get(j, ()))]))
+    two = walk = math.inf  # the cheapest ends in a walk of two keys, of three or more
+    way = None
+    for j in range(1, n + 1):
+        least = best[j - 1] + brute
+        for i in range(max(0, j - LONGEST_WORD), j - SHORTEST_WORD + 1):
+            if best[i] < least and (cost := word_cost(value[i:j], ranks)) is not None:
+                least = min(least, best[i] + cost)
+        if value[j - 1].isdigit():
+            for i in range(max(0, j - LONGEST_DATE), j - SHORTEST_DATE + 1):
+                if best[i] < least and value[i].isdigit() and (cost := date_cost(value[i:j])) is not None:
+                    least = min(least, best[i] + cost)
+        before, way = way, _WAYS.get(low[j - 2 : j]) if j > 1 else None
+        if way is None:
+            two = walk = math.inf
+        else:
+            walk = min(two, walk) + (STRAIGHT if way == before else TURN)
+            two = best[j - 2] + WALK_START
+        best.append(min(least, walk, repeats.until(j, best)))
     return best[-1]
 
 
@@ -136,6 +215,7 @@ def guess_spans(text: str, min_log_guesses: float = MIN_LOG_GUESSES, ranks: dict
     found = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:)!?")
+        # No value of fewer characters than the pattern asks for can reach the threshold.
         if len(value) >= 6 and log_guesses(value, ranks) >= min_log_guesses:
             found.append(("guess", m.start(1), m.start(1) + len(value)))
     return found
@@ -188,15 +268,9 @@ def with_secrets(df: DataFrame, text: str = "text", spans: str = "spans", redact
 
 def digest(documents: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, the SHA-256 of the base spans, and all spans."""
-
-    @F.pandas_udf("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string>")
-    def put(all_spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for spans in all_spans:
-            found = [(s["kind"], s["start"], s["end"]) for s in spans]
-            base = [s for s in found if s[0] != "guess"]
-            say = lambda x: ",".join(f"{k}:{i}:{j}" for k, i, j in x)
-            rows.append((*(sum(k == s[0] for s in base) for k in KINDS[:3]), hashlib.sha256(say(base).encode()).hexdigest(), say(found)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return with_secrets(documents.select("doc_id", "text")).select("doc_id", put("spans").alias("d")).select("doc_id", "d.*")
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "guess")
+    say = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+    found = with_secrets(documents.select("doc_id", "text"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(say(base).cast("binary"), 256).alias("base_sha256"), say(spans).alias("spans"))

@@ -1,6 +1,9 @@
 """Scans that judge each row by itself, against plain Python."""
 
+import functools
 import hashlib
+import math
+import random
 import re
 
 import numpy as np
@@ -112,6 +115,69 @@ def test_guess_costs_order_values_by_strength():
     assert secrets.log_guesses("zq" * 500) > 0
 
 
+def cheapest_by_hand(value, ranks, brute):
+    """The cheapest of all segmentations, tried one by one."""
+
+    def walk(part):
+        ways = [secrets._WAYS.get(part.lower()[i : i + 2]) for i in range(len(part) - 1)]
+        if len(part) < 3 or None in ways:
+            return None
+        return secrets.WALK_START + sum(secrets.STRAIGHT if a == b else secrets.TURN for a, b in zip(ways, ways[1:]))
+
+    @functools.cache
+    def go(v):
+        if not v:
+            return 0.0
+        least = go(v[:-1]) + brute
+        for i in range(len(v)):
+            part = v[i:]
+            costs = [secrets.word_cost(part, ranks), secrets.date_cost(part), walk(part)]
+            for p in range(1, len(part) // 2 + 1):
+                if part == part[:p] * (len(part) // p) and len(part) >= 3:
+                    costs.append(max(secrets.LEAST, brute if p == 1 else go(part[:p])) + math.log10(len(part) // p))
+            least = min([least, *(go(v[:i]) + c for c in costs if c is not None)])
+        return least
+
+    return go(value)
+
+
+def test_guess_costs_are_those_of_the_cheapest_segmentation():
+    ranks, r = {"abc": 3, "pass": 2, "word": 5, "aqw": 9, "one": 1, "ab1": 4}, random.Random(3)
+    for _ in range(1500):
+        pool = r.choice(["abc1", "qweasd", "12", "a", "0129-/", "pasword1", "aB1!"])
+        v = "".join(r.choice(pool) for _ in range(r.randint(1, 12)))
+        v = v[:5] * r.randint(1, 4) + v[5:7] if r.random() < 0.5 else v
+        brute = secrets.brute_cost(v)
+        assert secrets.log_guesses(v, ranks, brute) == pytest.approx(cheapest_by_hand(v, ranks, brute)), v
+
+
+def test_long_values_are_scored_whole():
+    for unit, times in (("a1", 32), ("a1", 33), ("a1", 128), ("1234567890", 20), ("0", 400)):
+        assert secrets.log_guesses(unit * times) < secrets.MIN_LOG_GUESSES, (unit, times)
+        assert secrets.guess_spans(f"pwd: {unit * times}") == []
+    strong = "xkqjvwzpfhtm"
+    assert secrets.log_guesses("0" * 300 + strong) == pytest.approx(secrets.log_guesses("0" * 30 + strong) + 1)
+
+
+def base_spans_by_hand(text):
+    found = []
+    for kind, pattern, least in (
+        ("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8),
+        ("access", r"(AKIA)([A-Z0-9]+)", 12),
+        ("hex", r"()([0-9a-f]+)", 32),
+    ):
+        found += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[2]) >= least]
+    return found
+
+
+def test_base_spans_are_those_of_the_patterns():
+    r = random.Random(8)
+    parts = ["password", "PassWD", "secret", "toKen", "api_key", "APIkey", "\"", "'", " ", ":", "=", "AKIA", "AKIA" + "Z9" * 6, "0123456789abcdef" * 2, "deadbeef", "hunter2hunter2", "x", "é", "\n", "ſecret", "\u212a"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert secrets.base_spans(text) == base_spans_by_hand(text), text
+
+
 def test_guess_spans_leave_prose_alone():
     assert secrets.guess_spans("the pass is thinningthethroat and the token was lost") == []
     text = "Authorization: Bearer x8Kq!vT2#mZpR7"
