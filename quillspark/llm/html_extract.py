@@ -7,12 +7,14 @@ below a block that is out, everything is out; a block that is in, and all that l
 
 The trees are fitted on the driver to a bounded sample: SAMPLE_PAGES pages of the table, labelled by their own
 markup (what an article or main element holds, without what its marked-up insets hold), each once as it
-is and once with its telling tags and attributes blanked, and MADE_PAGES pages made up here, which show
-sidebars, notices, forms and comments even where the table has none.
+is and once with its telling tags and attributes blanked, and MADE_PAGES pages made up here, labelled as they are
+made: articles of paragraphs, lists, tables, definition lists, figures, headings in a block of their own, and
+sidebars, notices, forms and comments around and within them, which hold tables and lists, too.
 
 Defined results: a null or empty page has an empty text; repeated rows each get theirs; in an empty table
-only made-up pages are learned from; other columns are carried along by ``extract`` and left out by
-``digest``. Whole pages are read, whatever their length.
+only made-up pages are learned from; other columns are carried along by ``extract``, where one of the name of the
+result is replaced, and left out by ``digest``. Whole pages are read, whatever their length; a worker holds the trees of
+some pages at once, of at most CHARS_AT_ONCE characters or of one page.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: The bound of the sample that the trees are fitted on.
-SAMPLE_PAGES, MADE_PAGES = 300, 200
+SAMPLE_PAGES, MADE_PAGES = 300, 300
 TREES, DEPTH, RATE, BINS, MIN_LEAF = 40, 4, 0.25, 32, 5
-PAGES_AT_ONCE = 256
+PAGES_AT_ONCE, CHARS_AT_ONCE = 256, 2_000_000
 
 # Elements of HTML by how they are laid out.
 BLOCKS = frozenset(
@@ -59,6 +61,8 @@ BAD_TOKENS = frozenset(
 BAD_TAGS = frozenset("nav aside footer header form menu dialog".split())
 TELLING = BAD_TAGS | {"article", "main"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The attribute by which made-up pages are labelled; no feature sees it.
+LABEL = "data-made-label"
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _CUT_TAG = re.compile(r"<(?:[a-zA-Z]|/[a-zA-Z]|!)[^<>]*\Z")
@@ -67,7 +71,7 @@ _CUT_TAG = re.compile(r"<(?:[a-zA-Z]|/[a-zA-Z]|!)[^<>]*\Z")
 class Block:
     """A block element: its own text comes in runs between its child blocks."""
 
-    __slots__ = ("tag", "tokens", "parent", "children", "items", "depth", "link", "tags")
+    __slots__ = ("tag", "tokens", "parent", "children", "items", "depth", "link", "tags", "label")
 
     def __init__(self, tag: str, tokens: frozenset, parent: "Block | None"):
         self.tag, self.tokens, self.parent = tag, tokens, parent
@@ -76,6 +80,7 @@ class Block:
         self.depth = parent.depth + 1 if parent else 0
         self.link = 0
         self.tags = 1
+        self.label: bool | None = None  # of made-up pages: whether this and what it holds is main text
 
 
 class _Tree(HTMLParser):
@@ -150,6 +155,9 @@ class _Tree(HTMLParser):
             return
         said = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
         node = Block(tag, frozenset(_TOKEN.findall(said.lower())) if said else frozenset(), self.at)
+        for k, v in attrs:
+            if k == LABEL:
+                node.label = v == "in"
         self.at.children.append(node)
         self.at.items.append(node)
         self.at = node
@@ -220,7 +228,7 @@ def in_order(root: Block) -> list[Block]:
     return out
 
 
-FEATURES = 30
+FEATURES = 33
 
 
 def features(nodes: list[Block], blank: bool = False) -> np.ndarray:
@@ -257,59 +265,113 @@ def features(nodes: list[Block], blank: bool = False) -> np.ndarray:
             t[0], o[0], t[0] / page, t[0] / t[4], t[1] / max(1.0, t[0]), t[2], o[2], t[3] / max(1.0, t[2]), t[4], x.depth,
             height[i], len(x.children), len(siblings), alike[kind[i]], mean_alike[kind[i]], before[i] / page, i / n, up[0] / page, up[1] / max(1.0, up[0]), up[0] / up[4],
             tag == "p", tag in HEADINGS, tag in ("li", "ul", "ol"), tag == "div", tag in ("td", "tr", "table"), good, bad, good_above[i], bad_above[i], tag == "blockquote",
+            tag in ("dl", "dt", "dd"), tag in ("figure", "figcaption", "caption"), tag in ("pre", "section", "tbody", "thead"),
         )
     return out
 
 
 def weak_labels(nodes: list[Block]) -> np.ndarray | None:
-    """Whether a block is main text, by the page's own markup; None if it has no article or main element."""
-    if not any(x.tag in ("article", "main") for x in nodes):
+    """Whether a block is main text, by the page's own markup; None if it has no article or main element. Labels of made-up pages go before."""
+    made = any(x.label is not None for x in nodes)
+    if not made and not any(x.tag in ("article", "main") for x in nodes):
         return None
     state: dict[int, bool] = {}
     for x in nodes:
         above = state.get(id(x.parent), False) if x.parent else False
-        inset = x.tag in BAD_TAGS or bool(x.tokens & BAD_TOKENS)
-        state[id(x)] = False if inset else above or x.tag in ("article", "main") and not _in_inset(x)
+        if made:
+            state[id(x)] = above if x.label is None else x.label
+        else:
+            state[id(x)] = not _is_inset(x, above) and (above or x.tag in ("article", "main") and not _in_inset(x))
     return np.array([state[id(x)] for x in nodes])
 
 
+def _is_inset(x: Block, inside: bool = False) -> bool:
+    """Whether a block is marked as something apart; the block around an article's title isn't, though it may be called a header."""
+    bad = x.tokens & BAD_TOKENS
+    return x.tag in BAD_TAGS or bool(bad) and not (inside and bad == {"header"} and any(c.tag in HEADINGS for c in x.children))
+
+
 def _in_inset(x: Block) -> bool:
     while x := x.parent:
-        if x.tag in BAD_TAGS or x.tokens & BAD_TOKENS:
+        if _is_inset(x):
             return True
     return False
 
 
 def made_page(seed: int) -> str:
-    """A page with an article and, around and within it, what doesn't belong to it."""
+    """A page with an article and, around and within it, what doesn't belong to it; labelled."""
     r = Random(seed)
     word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(2, 9)))
-    said = lambda a, b: (" ".join(word() for _ in range(r.randint(a, b))) + ".").capitalize()
-    prose = lambda: " ".join(said(5, 18) for _ in range(r.randint(1, 6)))
-    links = lambda k: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
+    said = lambda a, b: (" ".join(word() for _ in range(r.randint(a, b))) + r.choice(".....?!")).capitalize()
+    title = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
+    prose = lambda: " ".join(said(3, 18) for _ in range(r.randint(1, 6)))
+    links = lambda k: "".join(f'<li><a href="/{word()}">{title(1, 3)}</a></li>' for _ in range(k))
+    rows = lambda k, cell: "".join(f"<tr>{''.join(f'<{t}>{cell()}</{t}>' for t in r.choice(['td td', 'td td td', 'th td']).split())}</tr>" for _ in range(k))
+    value = lambda: r.choice([word, lambda: str(r.randint(0, 10**6)), lambda: title(1, 4), lambda: said(2, 9)])()
+    terms = lambda k, say: "".join(f"<dt>{title(1, 3)}</dt><dd>{say()}</dd>" for _ in range(k))
+    many = lambda a, b: r.randint(a, b) if r.random() < 0.97 else r.randint(60, 250)
+    named = lambda *names: f' class="{r.choice(names)}"' if r.random() < 0.8 else ""
     extra = [
-        f'<div class="{r.choice(["sidebar", "widget", "related"])}"><h3>{said(1, 3)}</h3><ul>{links(r.randint(2, 8))}</ul></div>',
-        f"<aside><h3>{said(1, 4)}</h3><p>{said(4, 20)}</p></aside>",
-        f'<div class="{r.choice(["notice", "cookie-banner", "alert"])}">{said(5, 25)}</div>',
+        f"<div{named('sidebar', 'widget', 'related', 'right-col')}><h3>{title(1, 3)}</h3><ul>{links(r.randint(2, 8))}</ul></div>",
+        f"<aside><h3>{title(1, 4)}</h3><p>{said(4, 20)}</p></aside>",
+        f"<aside{named('infobox', 'hours')}><dl>{terms(r.randint(2, 5), lambda: title(1, 3))}</dl></aside>",
+        f'<div class="{r.choice(["notice", "cookie-banner", "alert", "consent"])}"><p>{said(5, 25)}</p></div>',
+        f'<div class="{r.choice(["notice", "cookie-banner", "alert", "consent"])}">{said(5, 25)}</div>',
         f'<div class="{r.choice(["ad", "ads", "advert", "sponsored"])}">{said(3, 15)}</div>',
+        f'<div class="{r.choice(["ad", "advert", "promo"])}"><figure><img src="/x"><figcaption>{title(2, 8)}</figcaption></figure></div>',
         f'<form action="/x"><label>{word()}</label><input name="q"><p>{said(3, 9)}</p></form>',
-        f'<div class="{r.choice(["newsletter", "share", "promo"])}"><p>{said(3, 12)}</p></div>',
+        f'<form action="/x"><table>{rows(r.randint(1, 4), lambda: title(1, 2))}</table></form>',
+        f'<div class="{r.choice(["newsletter", "share", "promo", "social", "subscribe"])}"><p>{said(3, 12)}</p></div>',
+        f'<div class="{r.choice(["widget calendar", "sidebar", "related-table"])}"><table>{rows(r.randint(2, 6), lambda: str(r.randint(1, 31)))}</table></div>',
     ]
-    comments = f'<{r.choice(["section", "div"])} class="comments">' + "".join(f'<div class="comment"><p>{prose()}</p></div>' for _ in range(r.randint(1, 4))) + "</div>"
+    out = lambda html: html.replace(">", f' {LABEL}="out">', 1)
+    comment = lambda: r.choice([f"<p>{prose()}</p>", f"<h4>{title(1, 2)}</h4><p>{prose()}</p>", f"<blockquote>{said(4, 12)}</blockquote><p>{prose()}</p>"])
+    holder = r.choice(["div", "li", "article"])
+    comments = f'<{(tag := r.choice(["section", "div"]))} class="{r.choice(["comments", "comment-list", "responses comments"])}"><h3>{title(1, 2)}</h3>' + "".join(f'<{holder} class="{r.choice(["comment", "reply"])}">{comment()}</{holder}>' for _ in range(r.randint(1, 5))) + f"</{tag}>"
     r.shuffle(extra)
-    paragraphs = [f"<p>{prose()}</p>" for _ in range(r.randint(2, 9))]
-    if r.random() < 0.4:
-        paragraphs.insert(r.randint(1, len(paragraphs)), f"<ul><li>{said(4, 14)}</li><li>{said(4, 14)}</li></ul>")
-    if r.random() < 0.4:
-        paragraphs.insert(r.randint(1, len(paragraphs)), f"<h2>{said(2, 6)}</h2>")
-    if r.random() < 0.3:
-        paragraphs.insert(r.randint(1, len(paragraphs)), f"<blockquote>{prose()}</blockquote>")
-    if r.random() < 0.5:
-        paragraphs.insert(r.randint(1, len(paragraphs)), r.choice(extra[:3]))
-    main = f"<article><h1>{said(3, 9)}</h1>{''.join(paragraphs)}{comments if r.random() < 0.3 else ''}</article>"
+    plain = r.random() < 0.1
+    body = [f"<div>{said(5, 20)}</div>" if plain else f"<p>{prose()}</p>" for _ in range(many(2, 9))]
+
+    def put(chance: float, html: str) -> None:
+        if r.random() < chance:
+            body.insert(r.randint(min(1, len(body)), len(body)), html)
+
+    put(0.35, f"<{(tag := r.choice(['ul', 'ol']))}>{''.join(f'<li>{said(2, 14)}</li>' for _ in range(many(2, 6)))}</{tag}>")
+    put(0.15, f"<ul>{''.join(f'<li><p>{prose()}</p></li>' for _ in range(r.randint(2, 5)))}</ul>")
+    put(0.4, f"<{(tag := r.choice(['h2', 'h3', 'h4']))}>{title(1, 6)}</{tag}>")
+    put(0.2, f"<h2>{title(1, 6)}</h2>")
+    put(0.3, f"<blockquote>{r.choice([prose(), f'<p>{prose()}</p>'])}</blockquote>")
+    head = f"<thead><tr><th>{title(1, 2)}</th><th>{title(1, 2)}</th></tr></thead>" if r.random() < 0.5 else ""
+    caption = f"<caption>{title(2, 7)}</caption>" if r.random() < 0.4 else ""
+    table = f"<table>{caption}{head}{r.choice(['<tbody>', ''])}{rows(many(1, 9), value)}</table>"
+    put(0.45, r.choice([table, f"<div{named('table-wrap', 'scroll', 'table')}>{table}</div>"]))
+    put(0.35, f"<dl>{terms(many(1, 6), r.choice([lambda: title(1, 3), lambda: said(4, 16), prose]))}</dl>")
+    put(0.3, f'<figure{named("image", "wide")}><img src="/{word()}"><figcaption>{r.choice([title(2, 9), said(5, 20)])}</figcaption></figure>')
+    put(0.15, f"<pre>{prose()}</pre>")
+    put(0.2, f"<section{named('part', 'chapter')}><h3>{title(1, 5)}</h3><p>{prose()}</p><p>{prose()}</p></section>")
+    put(0.2, f"<div{named('lead', 'summary', 'intro', 'text')}>{r.choice([prose(), f'<p>{prose()}</p><p>{prose()}</p>'])}</div>")
+    for html in extra[:2]:
+        put(0.25, out(html))
+    # An article can be little but a table or list.
+    if r.random() < 0.08:
+        body = [r.choice([table, f"<dl>{terms(many(3, 9), prose)}</dl>", f"<ul>{''.join(f'<li>{said(3, 14)}</li>' for _ in range(many(4, 20)))}</ul>"])]
+    top = r.choice(["h1", "h1", "h1", "h2"])
+    heading = f"<{top}>{title(2, 9)}</{top}>"
+    heading = r.choice([heading, heading, f"<div{named('post-header', 'entry-header', 'article-head', 'title-block', 'header')}>{heading}</div>", f"<div{named('post-header', 'entry-title')}>{heading}<p>{said(3, 12)}</p></div>"])
+    tag, name = r.choice([("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="story-body"'), ("div", "")])
+    inner = f"{heading}{''.join(body)}"
+    if r.random() < 0.2:
+        inner = f"<div{named('entry-content', 'body', 'text')}>{inner}</div>"
+    main = f'<{tag}{name} {LABEL}="in">{inner}{out(comments) if r.random() < 0.3 else ""}</{tag}>'
+    if r.random() < 0.12:  # nothing around the article
+        main = "".join(x if LABEL in x else x.replace(">", f' {LABEL}="in">', 1) for x in [heading, *body])
+    if r.random() < 0.25:
+        main = f"<div{named('wrapper', 'container', 'page', 'layout')}>{main}{''.join(extra[6:8])}</div>"
+    foot = r.choice([f"&copy; {said(2, 12)}", f"<p>{said(2, 12)}</p><ul>{links(3)}</ul>", f"<dl>{terms(2, lambda: title(1, 3))}</dl>", f"<table>{rows(2, lambda: title(1, 2))}</table>"])
+    top_bar = r.choice([f"<header><div class=\"logo\">{word()}</div></header>", f"<header><h1>{title(1, 2)}</h1><p>{title(2, 6)}</p></header>", f"<div class=\"header\"><h1>{title(1, 2)}</h1></div>", ""])
     return (
-        f'<html><body><header><div class="logo">{word()}</div></header><nav><ul>{links(r.randint(3, 9))}</ul></nav>{"".join(extra[: r.randint(0, 3)])}'
-        f"{main}{''.join(extra[3 : 3 + r.randint(0, 3)])}{comments if r.random() < 0.5 else ''}<footer>&copy; {said(2, 12)}</footer></body></html>"
+        f'<html><body>{top_bar}<nav><ul>{links(r.randint(3, 9))}</ul></nav>{"".join(extra[2 : 2 + r.randint(0, 3)])}'
+        f"{main}{''.join(extra[8 : 8 + r.randint(0, 3)])}{comments if r.random() < 0.4 else ''}{r.choice(['<footer>', '<div class=footer>'])}{foot}</footer></div></body></html>"
     )
 
 
@@ -336,7 +398,8 @@ class Boosted:
                 lo = 2**level
                 cells = ((node - lo)[:, None] * (f * BINS) + flat).ravel()
                 shape = (lo, f, BINS)
-                g, h, c = (np.bincount(cells, np.repeat(w, f), lo * f * BINS).reshape(shape).cumsum(2) for w in (grad, hess, np.ones(n)))
+                g, h = (np.bincount(cells, np.repeat(w, f), lo * f * BINS).reshape(shape).cumsum(2) for w in (grad, hess))
+                c = np.bincount(cells, minlength=lo * f * BINS).reshape(shape).cumsum(2)
                 gt, ht, ct = g[:, :, -1:], h[:, :, -1:], c[:, :, -1:]
                 gain = g**2 / (h + 1) + (gt - g) ** 2 / (ht - h + 1) - gt**2 / (ht + 1)
                 gain[(c < MIN_LEAF) | (ct - c < MIN_LEAF)] = 0
@@ -435,9 +498,15 @@ def extract(pages: DataFrame, model: Boosted, html: str = "html", text: str = "t
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for h in batches:
             out: list[str] = []
-            for i in range(0, len(h), PAGES_AT_ONCE):
-                out += extract_all(h.iloc[i : i + PAGES_AT_ONCE].tolist(), model)
-            yield pd.Series(out, dtype=object)
+            some: list[str | None] = []
+            chars = 0
+            for page in h:
+                if some and (len(some) == PAGES_AT_ONCE or chars + len(page or "") > CHARS_AT_ONCE):
+                    out += extract_all(some, model)
+                    some, chars = [], 0
+                some.append(page)
+                chars += len(page or "")
+            yield pd.Series(out + extract_all(some, model) if some else out, dtype=object)
 
     return pages.withColumn(text, run(F.col(f"`{html}`")))
 
