@@ -2,43 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.repairs import repaired_markdown
 from quillspark.functions.tokens import token_count
 from quillspark.operators import html_blocks as hb, xml_forms
-from quillspark.operators.lines import assemble
+from quillspark.operators.lines import assemble, tidy_tables
 from quillspark.operators.ocr import SKIPPED
 from quillspark.sources import submissions as sub
-from quillspark.functions.text import section_title, until_uuencode, without_indentation
+from quillspark.functions.text import is_skipped_type, section_title, until_uuencode, without_indentation
 
 #: Where a part stands in a document: header and series first, then documents in order, PDF parts, XML parts.
 HEADER, DOCUMENTS, PDFS, XMLS = range(4)
 
 
+PARTS = "grp int, seq int, n int, kind string, bucket string, label string, form string, title string, content string"
+
+
+def items_of(body, form) -> Column:
+    """All that a submission is put together from, as one array of PARTS: header, documents, PDF notes, XML parts. Types without text are left out before their content is looked at."""
+    head = sub.header_of(body)
+    header = F.when(head != "", sub.header_markdown(head)).otherwise(F.lit("<No SEC-HEADER or IMS-HEADER found>"))
+
+    def item(grp, seq, n, kind, bucket, label, title, content):
+        given = [grp, seq, n, kind, bucket, label, form, title, content]
+        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast(d.split()[1]).alias(d.split()[0]) for x, d in zip(given, PARTS.split(", "))])
+
+    def of(block: Column, seq: Column) -> Column:
+        kind, description, content = sub.block_type(block), sub.block_description(block), sub.block_content(block)
+        routed = F.struct(sub.route(content, kind, form).alias("route"), content.alias("content"))
+        title = F.when((seq > 0) & (kind != form), F.concat(section_title(kind, F.nullif(description, F.lit(""))), F.lit("\n\n"))).otherwise(F.lit(""))
+
+        def put(r: Column) -> Column:
+            way, content = r["route"], r["content"]
+            html = F.when(way == "xml", sub.without_xml(content)).otherwise(content)
+            pages = F.array(item(DOCUMENTS, seq, 0, "html", "html", kind, title, html))
+            forms = F.transform(sub.xml_blobs(content), lambda x, i: item(XMLS, seq, i, "xml", "xml", "", "", xml_forms.repaired(x)))
+            note = F.array(item(PDFS, seq, 0, "plain", "pdf", kind, "", SKIPPED))
+            plain = F.array(item(DOCUMENTS, seq, 0, "plain", "text", kind, title, sub.plaintext_block(content)))
+            return F.when(way == "pdf", note).when(way == "html", pages).when(way == "xml", F.concat(pages, forms)).otherwise(plain)
+
+        found = F.flatten(F.transform(F.array(routed), put))
+        return F.when(is_skipped_type(kind), F.array().cast(f"array<struct<{PARTS.replace(' ', ':').replace(',:', ',')}>>")).otherwise(found)
+
+    return F.concat(F.array(item(HEADER, 0, 0, "plain", "sgml", "header", "", header)), F.flatten(F.transform(sub.blocks_of(body), of)))
+
+
 def parts(submissions: DataFrame, key: str = "path", body: str = "body", to_mmd: bool = False) -> DataFrame:
-    """(key, grp, seq, bucket, label, text): what every submission is put together from. Types without text are dropped before their content is looked at."""
-    head = sub.header_of(F.col(body))
-    header = submissions.select(key, F.lit(HEADER).alias("grp"), F.lit(0).alias("seq"), F.lit("sgml").alias("bucket"), F.lit("header").alias("label"), F.when(head != "", sub.header_markdown(head)).otherwise(F.lit("<No SEC-HEADER or IMS-HEADER found>")).alias("text"))
-    docs = sub.readable(sub.split_documents(submissions, key, body))
-    docs = docs.withColumn("route", sub.route(F.col("content"), F.col("doc_type"), F.col("form"))).withColumn("id", F.struct(key, "seq"))
-    titled = F.when((F.col("seq") > 0) & (F.col("doc_type") != F.col("form")), F.concat(section_title(F.col("doc_type"), F.nullif("description", F.lit(""))), F.lit("\n\n"))).otherwise(F.lit(""))
-    text = docs.where(F.col("route").isin("text", "13f_text", "nsar", "paper")).select(key, F.lit(DOCUMENTS).alias("grp"), "seq", F.lit("text").alias("bucket"), F.col("doc_type").alias("label"), F.concat(titled, sub.plaintext_block(F.col("content"))).alias("text"))
-    named = docs.withColumn("doc_key", F.concat_ws("\x1f", F.col(key).cast("string"), F.col("seq").cast("string")))
-    html = named.where(F.col("route").isin("html", "xml")).withColumn("html", sub.without_xml(F.col("content")))
-    read = hb.to_markdown(html.where(F.trim("html") != ""), "doc_key", "html", to_mmd=to_mmd)
-    html_part = html.select("doc_key", key, "seq", "doc_type", titled.alias("title")).join(read, "doc_key").select(key, F.lit(DOCUMENTS).alias("grp"), "seq", F.lit("html").alias("bucket"), F.col("doc_type").alias("label"), F.concat("title", repaired_markdown(F.col("text"))).alias("text"))
-    pdf = docs.where("route = 'pdf'").select(key, F.lit(PDFS).alias("grp"), "seq", F.lit("pdf").alias("bucket"), F.col("doc_type").alias("label"), F.lit(SKIPPED).alias("text"))
-    blobs = named.where("route = 'xml'").select("doc_key", key, "seq", "form", F.posexplode(sub.xml_blobs(F.col("content"))).alias("n", "xml"))
-    blobs = blobs.withColumn("blob_key", F.concat_ws("\x1f", "doc_key", F.col("n").cast("string")))
-    xml = blobs.select("blob_key", key, "seq", "n").join(xml_forms.parse_xml(blobs, "blob_key", "xml", "form"), "blob_key").where("text is not null")
-    xml = xml.select(key, F.lit(XMLS).alias("grp"), (F.col("seq") * 1000 + F.col("n")).alias("seq"), F.lit("xml").alias("bucket"), F.coalesce("title", "root").alias("label"), "text")
-    return header.unionByName(text).unionByName(html_part).unionByName(pdf).unionByName(xml).where(F.trim("text") != "")
+    """(key, grp, seq, n, bucket, label, text, error): what every submission is put together from, in one pass over it and without an exchange.
+
+    An XML part that can't be read stays as it is, under a note that says why.
+    """
+    rows = submissions.select(F.col(key).alias("key"), F.explode(items_of(F.col(body), sub.submission_type(F.col(body)))).alias("x")).select("key", "x.*")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            root, text, error = [], [], []
+            for way, content in zip(b["kind"], b["content"]):
+                read = (None, content, None)
+                if way == "html":
+                    read = (None, tidy_tables(hb.page_markdown(content, "", to_mmd)), None)
+                elif way == "xml":
+                    read = xml_forms.read_xml(content)
+                    if read[2] is not None:
+                        read = (None, f"> XML part that can't be read: {read[2]}\n\n```xml\n{(content or '').strip()}\n```", read[2])
+                for column, x in zip((root, text, error), read):
+                    column.append(x)
+            yield b.drop(columns="content").assign(root=root, text=text, error=error)
+
+    d = rows.mapInPandas(run, f"key {kind}, {PARTS.rsplit(',', 1)[0]}, root string, text string, error string")
+    title = xml_forms.form_title(F.col("root"), F.col("form"))
+    named = F.when(title.isNotNull() & F.col("root").isNotNull(), F.concat(F.lit("## "), title, F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    text = F.when(F.col("kind") == "xml", named).when(F.col("kind") == "html", repaired_markdown(F.col("text"))).otherwise(F.col("text"))
+    whole = F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.concat("title", text))
+    label = F.when(F.col("kind") == "xml", F.coalesce(title, "root", F.lit("unreadable"))).otherwise(F.col("label"))
+    return d.select(F.col("key").alias(key), "grp", "seq", "n", "bucket", label.alias("label"), whole.alias("text"), "error").where("text is not null")
 
 
 def convert(submissions: DataFrame, key: str = "path", body: str = "body", to_mmd: bool = False, disable_indentation: bool = False) -> DataFrame:
     """(key, text, tokens): every submission as one Markdown document."""
-    ordered = parts(submissions, key, body, to_mmd).withColumn("place", F.struct("grp", "seq"))
+    ordered = parts(submissions, key, body, to_mmd).withColumn("place", F.struct("grp", "seq", "n"))
     whole = assemble(ordered.select(key, "place", "text"), key, "place", "text", "\n\n")
     text = until_uuencode(F.col("text"))
     text = without_indentation(text) if disable_indentation else text

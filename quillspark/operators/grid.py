@@ -157,7 +157,7 @@ def render_gfm(cells: DataFrame) -> DataFrame:
     whole = F.array_sort(F.collect_list(F.struct("r", "line", "n")))
     d = rows.groupBy(KEY).agg(whole.alias("w"))
     lines, rule = F.transform("w", lambda s: s["line"]), F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.get(F.col("w"), F.lit(0))["n"]))
-    return d.select(KEY, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000)), "\n").alias("markdown"))
+    return d.select(KEY, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.filter(lines, lambda _, i: i > 0)), "\n").alias("markdown"))
 
 
 def stack_header_rows(cells: DataFrame, header_rows: int = 2) -> DataFrame:

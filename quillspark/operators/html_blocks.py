@@ -89,7 +89,7 @@ class Walker(HTMLParser):
             return  # the same heading twice in a row
         self.last_heading = text if kind == "h" else ""
         if kind == "p":
-            level = min(8, round((sum(self.indent) + self.own) / 14.4))
+            level = round((sum(self.indent) + self.own) / 14.4)
         self.blocks.append((kind, level, text))
 
     # -- tags --------------------------------------------------------------------------------------------
@@ -297,7 +297,20 @@ def block_markdown(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("markdown", text)
 
 
+def page_markdown(html: str | None, base: str = "", to_mmd: bool = False) -> str:
+    """A page as one Markdown text: its blocks as ``block_markdown`` shows them, an empty line between two."""
+    shown = {"pre": "```\n{}\n```", "table": "---\n\n{}\n\n---"}
+    lead = {"h": "#", "li": INDENT, "p": INDENT}
+    return "\n\n".join(lead.get(kind, "") * level + " " * (kind == "h") + shown.get(kind, "{}").replace("{}", text) for kind, level, text in walk(html, base, to_mmd))
+
+
 def to_markdown(df: DataFrame, key: str, html: str, base: str | None = None, to_mmd: bool = False) -> DataFrame:
-    """(key, text): every page as one Markdown text."""
-    d = block_markdown(html_blocks(df, key, html, base, to_mmd))
-    return assemble(d.select("key", "pos", "markdown"), "key", "pos", "markdown", "\n\n").withColumnRenamed("key", key)
+    """(key, text): every page as one Markdown text; no exchange, as a page is a row."""
+    rows = df.select(F.col(key).alias("key"), F.col(html).alias("html"), (F.col(base) if base else F.lit("")).alias("base"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "text": [page_markdown(h, u or "", to_mmd) for h, u in zip(b["html"], b["base"])]})
+
+    return rows.mapInPandas(run, f"key {kind}, text string").where("text <> ''").withColumnRenamed("key", key)

@@ -174,6 +174,14 @@ def markdown(xml: str) -> str:
     return "\n\n".join(parts)
 
 
+def read_xml(xml: str | None) -> tuple[str | None, str | None, str | None]:
+    """(root, Markdown, error) of one repaired XML text; without an error the first two are there, else only the error."""
+    try:
+        return _name(ET.fromstring(xml).tag), markdown(xml), None
+    except (ET.ParseError, TypeError, RecursionError) as e:
+        return None, None, str(e)[:200]
+
+
 def parse_xml(df: DataFrame, key: str, xml: str, form: str) -> DataFrame:
     """(key, root, title, text, error): every XML file as Markdown."""
     rows = df.select(F.col(key).alias("key"), repaired(F.col(xml)).alias("xml"), F.col(form).alias("form"))
@@ -181,12 +189,7 @@ def parse_xml(df: DataFrame, key: str, xml: str, form: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for k, x, f in zip(b["key"], b["xml"], b["form"]):
-                try:
-                    out.append((k, f, _name(ET.fromstring(x).tag), markdown(x), None))
-                except (ET.ParseError, TypeError) as e:
-                    out.append((k, f, None, None, str(e)[:200]))
+            out = [(k, f, *read_xml(x)) for k, x, f in zip(b["key"], b["xml"], b["form"])]
             yield pd.DataFrame(out, columns=["key", "form", "root", "text", "error"])
 
     d = rows.mapInPandas(run, f"key {kind}, form string, root string, text string, error string")

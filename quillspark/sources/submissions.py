@@ -13,17 +13,22 @@ PAPER_FORMS = ("MSDW", "MSD", "MSDCO")
 
 
 def read_submissions(spark: SparkSession, path: str, glob: str = "*.{txt,htm,html}") -> DataFrame:
-    """(path, length, body): UTF-8 where it is valid, else Latin-1. Files are read whole, one a row; a filter on the path prunes files."""
+    """(path, length, body): decoded by ``decoded``. Files are read whole, one a row; a filter on the path prunes files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.select("path", "length", body.alias("body"))
+    return files.select("path", "length", decoded(F.col("content")).alias("body"))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8 where they are that, else Latin-1 with the control codes as the characters that Windows-1252 has there."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(t.control_codes_to_characters(F.decode(content, "ISO-8859-1")))
 
 
 def stream_submissions(spark: SparkSession, path: str, glob: str = "*.txt", files_per_batch: int = 1_000) -> DataFrame:
     """The same rows as they arrive, with the time of the file, for Structured Streaming."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select("path", F.col("modificationTime").alias("ts"), "length", F.decode("content", "UTF-8").alias("body"))
+    return files.select("path", F.col("modificationTime").alias("ts"), "length", decoded(F.col("content")).alias("body"))
 
 
 def between(text: Column, tag: str) -> Column:
@@ -53,16 +58,25 @@ def contains_ignoring_case(body: Column, needle: str) -> Column:
     return F.contains(F.lower(body), F.lit(needle.lower()))
 
 
+def block_type(block: Column) -> Column:
+    return F.upper(F.regexp_extract(block, r"(?i)<TYPE>\s*([^\s<]+)", 1))
+
+
+def block_description(block: Column) -> Column:
+    return F.trim(F.regexp_extract(block, r"(?i)<DESCRIPTION>\s*([^<\n]*)", 1))
+
+
+def block_content(block: Column) -> Column:
+    """The text of a block, its description if that is empty."""
+    text = F.when(block.rlike(r"(?is)<TEXT>.*?</TEXT>"), between(block, "TEXT")).otherwise(block)
+    return F.when(F.regexp_replace(text, r"\s", "") == "", block_description(block)).otherwise(text)
+
+
 def split_documents(submissions: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
     """(key, form, seq, doc_type, description, content): a row for each block; content falls back to the description if empty."""
     d = submissions.select(F.col(key), submission_type(F.col(body)).alias("form"), F.posexplode(blocks_of(F.col(body))).alias("seq", "block"))
     b = F.col("block")
-    text = F.when(b.rlike(r"(?is)<TEXT>.*?</TEXT>"), between(b, "TEXT")).otherwise(b)
-    description = F.trim(F.regexp_extract(b, r"(?i)<DESCRIPTION>\s*([^<\n]*)", 1))
-    return d.select(
-        key, "form", "seq", F.upper(F.regexp_extract(b, r"(?i)<TYPE>\s*([^\s<]+)", 1)).alias("doc_type"), description.alias("description"),
-        F.when(F.trim(F.regexp_replace(text, r"\s", "")) == "", description).otherwise(text).alias("content"),
-    )
+    return d.select(key, "form", "seq", block_type(b).alias("doc_type"), block_description(b).alias("description"), block_content(b).alias("content"))
 
 
 def readable(documents: DataFrame) -> DataFrame:
@@ -138,11 +152,12 @@ def header_markdown(header: Column) -> Column:
 def series_classes(header: Column) -> Column:
     """array of (series_id, series_name, class_id, class_name, ticker) from the series-and-classes block."""
     one = lambda b, tag: F.coalesce(F.nullif(F.trim(F.regexp_extract(b, rf"(?i)<{tag}>\s*([^\n<]+)", 1)), F.lit("")), F.lit(t.MISSING))
-    series = F.slice(F.split(between(header, "SERIES-AND-CLASSES-CONTRACTS-DATA"), r"(?i)<SERIES>", -1), 2, 1_000_000)
+    behind_first = lambda xs: F.filter(xs, lambda _, i: i > 0)
+    series = behind_first(F.split(between(header, "SERIES-AND-CLASSES-CONTRACTS-DATA"), r"(?i)<SERIES>", -1))
 
     def classes(s: Column) -> Column:
         return F.transform(
-            F.slice(F.split(s, r"(?i)<CLASS-CONTRACT>", -1), 2, 1_000_000),
+            behind_first(F.split(s, r"(?i)<CLASS-CONTRACT>", -1)),
             lambda c: F.struct(one(s, "SERIES-ID").alias("series_id"), one(s, "SERIES-NAME").alias("series_name"), one(c, "CLASS-CONTRACT-ID").alias("class_id"), one(c, "CLASS-CONTRACT-NAME").alias("class_name"), one(c, "CLASS-CONTRACT-TICKER-SYMBOL").alias("ticker")),
         )
 
