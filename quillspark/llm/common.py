@@ -39,12 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint a table of narrow rows; one of at most ONE_TASK_ROWS becomes one partition, so that what follows needs no exchange. Larger ones stay spread out."""
     out = cut(df)
-    return out.coalesce(1) if out.count() <= ONE_TASK_ROWS else out
+    n = out.count()
+    out = out.coalesce(1) if n <= ONE_TASK_ROWS else out
+    out.__dict__["settled_rows"] = n
+    return out
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A checkpointed table with a broadcast hint if, counted, it is within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def rows_of(df: DataFrame) -> int:
+    """The number of rows; that of a settled table is known."""
+    n = df.__dict__.get("settled_rows")
+    return df.count() if n is None else n
+
+
+def small(df: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """A table of narrow rows with a broadcast hint if it, or a settled table that has no fewer rows, is counted within BROADCAST_ROWS."""
+    return F.broadcast(df) if rows_of(df if within is None else within) <= BROADCAST_ROWS else df
 
 
 def uniform(*parts: Column) -> Column:

@@ -122,6 +122,17 @@ def test_banded_alignment_is_the_edit_distance():
         x, y, d, most = np.array(a, np.int32), np.array(b, np.int32), distance(a, b), r.randint(0, 15)
         assert near_dedup.edit_distance_within(x, y, most) == (d if d <= most else None)
         assert near_dedup.bag_distance(x, y) <= d
+        assert near_dedup.edit_distance_bits(x, y) == d
+        assert near_dedup.alike(x, y) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
+def test_long_texts_are_aligned_whole():
+    r = np.random.default_rng(5)
+    a = r.zipf(1.3, 30_000).astype(np.int32)
+    for edits, same in ((5_900, True), (6_100, False)):
+        b = a.copy()
+        b[r.choice(len(a), edits, replace=False)] = -1 - np.arange(edits)
+        assert near_dedup.edit_distance_bits(a, b) == edits and near_dedup.alike(a, b) == same
 
 
 def test_near_copies_share_a_class_and_others_do_not(docs):
@@ -182,6 +193,27 @@ def test_scattered_changes_are_found_and_more_of_them_are_not(docs):
     assert all(got[i] == i for i in got if i % 100 == 0 or i >= 9000)
 
 
+@pytest.mark.parametrize("edits, least", [(10, 1.0), (20, 1.0), (30, 0.95), (40, 0.9)])
+def test_links_in_a_crowd_are_those_of_all_pairs(docs, edits, least):
+    """Groups around a shared passage, at edit similarities of 0.95 to 0.8: all pairs by brute force against the classes."""
+    passage, texts, r = scattered(60, 0, 99)[0].split(), {}, random.Random(edits)
+    for g in range(40):
+        base = passage + scattered(140, 0, g)[0].split()
+        texts[100 * g + 100] = base
+        for k in range(1, 3):
+            other = list(base)
+            for i in r.sample(range(200), edits):
+                other[i] = f"y{r.getrandbits(48)}"
+            texts[100 * g + 100 + k] = other
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.digest(docs([(i, " ".join(w)) for i, w in texts.items()])).collect()}
+    code = {w: n for n, w in enumerate({w for t in texts.values() for w in t})}
+    rows = {i: np.array([code[w] for w in t], np.int32) for i, t in texts.items()}
+    pairs = [(i, j) for i in rows for j in rows if i < j and near_dedup.alike(rows[i], rows[j])]
+    assert len(pairs) >= 80
+    assert sum(got[i] == got[j] for i, j in pairs) >= least * len(pairs)
+    assert all(got[i] // 100 == i // 100 for i in got)
+
+
 def test_order_matters(docs):
     words = prose(3, 400).split()
     halves = " ".join(words[200:] + words[:200])
