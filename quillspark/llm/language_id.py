@@ -1,12 +1,13 @@
 """Language identification by compression.
 
-A bounded sample of labelled texts per language becomes a raw-content zstandard dictionary. Of a
-text all letters count, in lower case, a word that follows itself once; it is cut into blocks, every
-block is compressed with every dictionary, and the language with the smallest total wins. Where the
-margin over the runner-up is narrow, ``sure`` is false.
+A bounded sample of labelled texts per language, each whole, becomes a raw-content zstandard dictionary. Of a
+text all letters count, in lower case; it is cut into blocks, every block is compressed with every dictionary, and the
+language with the smallest total wins. Where the margin over the runner-up is narrow, ``sure`` is false.
 
 Defined results: ``und`` for a null text or one without a letter; with no labelled rows every text is
-``und``; ties go to the language with more labelled documents, then by name.
+``und``; ties go to the language with more labelled documents, then by name; repeated rows each get the same result; texts of any
+length count whole; an empty table gives no rows; extra columns are carried along by ``identify``, where columns of the names
+of its results are replaced, and left out by ``digest``.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-#: Labelled documents per language, and characters of each, that the dictionaries are fitted on: the bound of the sample.
+#: Labelled documents per language that the dictionaries are fitted on: the bound of the sample. Each counts whole; those of over
+#: SAMPLE_LENGTH characters are taken only where a language has too few others.
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 1_500
+SAMPLE_LENGTH = 8_000
 #: Characters compressed at once: a text must not teach the compressor more than the dictionary does.
 BLOCK = 4_096
 LEVEL = 5
@@ -29,22 +31,36 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 MARGIN = 0.01
 
 
-def learn(labelled: DataFrame, id_col: str, text: str, lang: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
-    """(language, dictionary), languages with more labelled rows first. At most ``docs`` rows a language reach the driver: those with the smallest hash."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(id_col).alias("i"), F.substring(text, 1, chars).alias("t"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    w = W.partitionBy("l").orderBy(F.xxhash64("i"), "i", "t")
-    picked = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs).select("l", "n", "t").collect()
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in picked:
-        texts.setdefault(r["l"], []).append((r["n"], r["t"]))
-    return [(k, "\n".join(plain(t) for _, t in sorted(texts[k])).encode("utf-8", "replace")) for k in sorted(texts, key=lambda k: (-counts[k], k))]
+def learn(labelled: DataFrame, id_col: str, text: str, lang: str, docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
+    """(language, dictionary), languages with more labelled rows first. At most ``docs`` rows a language reach the driver: those with the smallest hash.
+
+    A language's hashes below a bound that some times as many rows as wanted fall under are looked at, so no task sorts a language.
+    """
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(id_col).alias("i"), F.col(text).alias("t"))
+    rows = rows.withColumns({"long": F.length("t") > SAMPLE_LENGTH, "h": F.xxhash64("i", "t")})
+    found = rows.groupBy("l").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short")).collect()
+    if not found:
+        return []
+    counts = {r["l"]: r["n"] for r in found}
+    # Of short texts, and of long ones where those are too few, the share of the hashes that holds enough.
+    enough = {(r["l"], kind): min(1.0, 8 * docs / max(1, n)) for r in found for kind, n in ((False, r["short"]), (True, (r["n"] - r["short"]) if r["short"] < 2 * docs else 10**18))}
+    bound = F.lit(-(2**63)).cast("bigint")
+    for (name, kind), share in enough.items():
+        bound = F.when((F.col("l") == name) & (F.col("long") == kind), F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).otherwise(bound)
+    near = rows.where(F.col("h") <= bound).select("l", "i", "long", "h")
+    w = W.partitionBy("l").orderBy("long", "h", "i")
+    picked = near.distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= docs)
+    keys = {(r["l"], r["h"], r["i"]): r["k"] for r in picked.collect()}
+    texts: dict[str, dict[int, str]] = {}
+    for r in rows.where(F.col("h").isin([h for _, h, _ in keys])).select("l", "h", "i", "t").dropDuplicates(["l", "h", "i"]).collect() if keys else ():
+        if k := keys.get((r["l"], r["h"], r["i"])):
+            texts.setdefault(r["l"], {})[k] = r["t"]
+    return [(k, "\n".join(plain(t) for _, t in sorted(texts[k].items())).encode("utf-8", "replace")) for k in sorted(texts, key=lambda k: (-counts[k], k))]
 
 
 def plain(text: str) -> str:
-    """What is compressed: the words in lower case, one blank between two, a word that follows itself once."""
-    words = _LETTERS.findall(text.lower())
-    return " ".join(a for a, b in zip(words, [None, *words]) if a != b)
+    """What is compressed: the words in lower case, one blank between two."""
+    return " ".join(_LETTERS.findall(text.lower()))
 
 
 class Classifier:
@@ -74,7 +90,7 @@ class Classifier:
 
 
 def identify(df: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
-    """Add lang_pred, score and sure. The dictionaries are at most SAMPLE_DOCS * SAMPLE_CHARS characters a language."""
+    """Add lang_pred, score and sure. The dictionaries are the texts of at most SAMPLE_DOCS rows a language."""
     @F.pandas_udf("struct<lang_pred:string,score:double,sure:boolean>")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Classifier(dictionaries)

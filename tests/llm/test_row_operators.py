@@ -239,10 +239,23 @@ def test_language_by_compression(docs):
     assert all(by[i]["lang_pred"] == k for i, _, k, _ in rows[:80])
     assert [by[i]["lang_pred"] for i in (1000, 1001, 1002, None, 1004)] == ["und", "und", "und", "en", "en"]
     assert all(0 <= r["score"] <= 1 for r in got)
+    assert language_id.plain("a a A b b 12 c") == "a a a b b c"  # the whole text
+    clash = language_id.identify(docs(rows[:3]).selectExpr("*", "'x' as lang_pred", "7 as score"), language_id.learn(docs(rows), "doc_id", "text", "lang"))
+    assert clash.columns.count("score") == 1 and {r["lang_pred"] for r in clash.collect()} == {"de", "en"}
     assert language_id.digest(docs([])).count() == 0
     assert {r["lang_pred"] for r in language_id.digest(docs([(1, "abc", None, None)])).collect()} == {"und"}
 
 
+def test_dictionaries_take_whole_texts_and_few_of_a_large_language(docs):
+    rows = [(i, f"wort{chr(97 + i % 26)} " * 40 + f"ende{chr(97 + i % 26)}", "de", None) for i in range(400)]
+    rows += [(1000, "long " * 5_000 + "tail", "en", None), (1001, "fin", "fr", None), (1002, "ende", None, None)]
+    got = dict(language_id.learn(docs(rows), "doc_id", "text", "lang", docs=10))
+    assert list(got) == ["de", "en", "fr"]
+    assert len(got["de"].split(b"\n")) == 10 and got["de"].count(b"ende") == 10
+    assert got["en"].endswith(b"tail") and got["fr"] == b"fin"
+    assert dict(language_id.learn(docs(rows[::-1]), "doc_id", "text", "lang", docs=10)) == got
+
+
 # -- pages -------------------------------------------------------------------------------------------------
 
 
@@ -396,13 +409,50 @@ def test_pieces_are_those_of_the_library():
     r = np.random.default_rng(1)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyzéèàöß ETAOIN.,-_=()[]{}/\\\"'0123456789\n\t#*$% "))
     texts = TEXTS + ["".join(r.choice(letters[: r.integers(2, len(letters))], r.integers(0, 80))) for _ in range(1500)]
-    known = {}
-    for text, ids in zip(texts, model.encode_batch(texts, known)):
+    for text, ids in zip(texts, model.encode_batch(texts, codec.Known())):
         ids = np.frombuffer(ids, np.int32)
         assert ids.tolist() == sp.encode(text), text
         assert model.decode(ids) == text.replace("▁", " ")
 
 
+def test_runs_of_blanks_are_those_of_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL), codec.load()
+    texts = [" " * k for k in range(70)] + [" " * k + "word" + " " * (70 - k) for k in range(70)] + [" " * 1_000 + "x"]
+    for text, ids in zip(texts, model.encode_batch(texts, codec.Known())):
+        assert np.frombuffer(ids, np.int32).tolist() == sp.encode(text), text
+    long = np.frombuffer(model.encode_batch([" " * 1_000_000], codec.Known())[0], np.int32)
+    assert len(long) == 1_000_001 // 16 + 1 and model.decode(long) == " " * 1_000_000
+
+
+def test_long_segments_are_indexed_in_windows(monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL), codec.load()
+    r = random.Random(6)
+    pool = list("abcdefghijklmnopqrstuvwxyzETAOINéß.,()[]0123456789") + ["日", "🎉"]
+    texts = ["".join(r.choice(pool[: r.randint(3, len(pool))]) for _ in range(r.randint(30, 400))) for _ in range(200)]
+    texts += ["".join(r.choice("abcdefgh") for _ in range(30_000)), "z" * 25_000]
+    for window in (211, 20_000):
+        monkeypatch.setattr(codec, "LONG", window)
+        for text, ids in zip(texts, model.encode_batch(texts, codec.Known())):
+            assert np.frombuffer(ids, np.int32).tolist() == sp.encode(text), (window, text[:50])
+
+
+def test_what_a_worker_forgets_does_not_matter(monkeypatch):
+    model, r = codec.load(), random.Random(7)
+    monkeypatch.setattr(codec, "REMEMBERED", 20)
+    texts = [" ".join(r.choice(["aa", "bb", "cc", f"w{r.randint(0, 99)}", " x"]) for _ in range(30)) for _ in range(60)]
+    known = codec.Known()
+    assert [model.encode_batch([t], known)[0] for t in texts] == model.encode_batch(texts, codec.Known())
+
+
+def test_columns_of_the_names_of_the_results_are_replaced(docs):
+    df = docs([(1, "a b"), (2, None)]).selectExpr("*", "'x' as ids", "2 as back")
+    out = codec.encode(df, "text", "ids", decoded="back")
+    assert out.columns.count("ids") == out.columns.count("back") == 1
+    assert {r["doc_id"]: r["back"] for r in out.collect()} == {1: "a b", 2: None}
+
+
 def test_piece_digest(docs):
     rows = [*AWKWARD, *((100 + i, t) for i, t in enumerate(TEXTS))]
     got = codec.digest(docs(rows, extra=True)).collect()
