@@ -7,12 +7,13 @@ over all of it come first; only the rest is sampled.
 
 Scale: the sort is never of a source as a whole. Keys fall into buckets on a logarithmic scale (a
 bucket holds about half a percent of a source at most, whatever the weights), sums per source and
-bucket find the one bucket in which the budget ends, and only its documents are sorted. What comes
+bucket find the one bucket in which the budget ends; this is divided into finer buckets in the same way (each about a
+millionth of a source), and only the documents of the one in which the budget ends are sorted. What comes
 back to the rows is one line per source: its epochs and the last key taken.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; rows that
 agree in id and text share one key, and so one decision; an empty table gives an empty mix; a source
-without words has target 0.
+without words has target 0; texts of any length count whole; ``mix`` keeps all columns, whatever their names, ``digest`` reads no others.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from quillspark.llm.common import WORD, cut, small, uniform
 
 #: Buckets in a doubling of the key.
 BUCKETS = 64
+#: Finer buckets in a bucket.
+FINER = 4_096
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 
@@ -72,6 +75,17 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_
     return d.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w").cast("double") * rest / rest_w)).select("src", "source_size", "target")
 
 
+def fine_of(key: Column) -> Column:
+    return F.floor(F.log2(F.greatest(key, F.lit(1e-300))) * BUCKETS * FINER)
+
+
+def _end(sums: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(src, at, before, left): of the buckets (src, at, bucket_size) behind what is ``before`` them, the one in which the budget ``left`` ends."""
+    to = F.col("before") + F.sum("bucket_size").over(W.partitionBy("src").orderBy("at"))
+    d = sums.join(small(budgets), "src").withColumn("to", to).withColumn("before", F.col("to") - F.col("bucket_size"))
+    return d.where((F.col("before") < F.col("left")) & (F.col("to") >= F.col("left"))).select("src", "at", "before", "left")
+
+
 def plan(keyed: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
     """From (src, size, key): per source its size, target, epochs, and the last bucket and key that the fraction takes."""
     rows = keyed.withColumn("bucket", bucket_of(F.col("key")))
@@ -79,20 +93,27 @@ def plan(keyed: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_EPO
     t = targets(sums.groupBy("src").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(0)).cast("int"))
     t = cut(t.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size").cast("double")))
-    to = F.sum("bucket_size").over(W.partitionBy("src").orderBy("bucket"))
-    ends = sums.join(small(t.select("src", "left")), "src").withColumn("to", to).withColumn("before", F.col("to") - F.col("bucket_size"))
-    ends = cut(ends.where((F.col("before") < F.col("left")) & (F.col("to") >= F.col("left"))).select("src", "bucket", "before", "left"))
-    inside = rows.join(small(ends), ["src", "bucket"]).groupBy("src", "bucket", "before", "left", "key").agg(F.sum("size").alias("s"))
+    ends = _end(sums.withColumnRenamed("bucket", "at"), t.select("src", F.lit(0).cast("bigint").alias("before"), "left"))
+    ends = cut(ends.withColumnRenamed("at", "bucket"))
+    fine = rows.join(small(ends), ["src", "bucket"]).withColumn("at", fine_of(F.col("key")))
+    inner = cut(fine.groupBy("src", "at").agg(F.sum("size").alias("bucket_size")))
+    fine_ends = cut(_end(inner, ends.select("src", "before", "left")))
+    inside = fine.drop("before", "left").join(small(fine_ends), ["src", "at"])
+    inside = inside.groupBy("src", "bucket", "before", "left", "key").agg(F.sum("size").alias("s"))
     run = F.sum("s").over(W.partitionBy("src", "bucket").orderBy("key"))
     taken = inside.withColumn("run", run).where(F.col("before") + F.col("run") - F.col("s") / 2 <= F.col("left"))
+    # Where not even the first of the last finer bucket is taken, all before that bucket are.
     last = taken.groupBy("src").agg(F.max("key").alias("last_key"))
-    return cut(t.join(ends.select("src", F.col("bucket").alias("last_bucket")), "src", "left").join(last, "src", "left"))
+    ends = ends.select("src", F.col("bucket").alias("last_bucket")).join(fine_ends.select("src", F.col("at").alias("last_fine")), "src", "left")
+    return cut(t.join(ends, "src", "left").join(last, "src", "left"))
 
 
 def times(src_plan_joined_key: Column) -> Column:
     """How often a row of (key joined with its source's plan) is taken."""
     bucket = bucket_of(src_plan_joined_key)
-    drawn = (bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (src_plan_joined_key <= F.col("last_key")))
+    fine = fine_of(src_plan_joined_key)
+    in_last = (fine < F.col("last_fine")) | ((fine == F.col("last_fine")) & (src_plan_joined_key <= F.col("last_key")))
+    drawn = (bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & F.coalesce(in_last, F.lit(False)))
     return F.col("epochs") + F.coalesce(drawn, F.lit(False)).cast("int")
 
 
@@ -110,9 +131,8 @@ def digest(documents: DataFrame) -> DataFrame:
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """The mixed rows: each as often as it is taken, with the input's columns. Texts are not shuffled: a row decides by its own key."""
     steps = plan(cut(_keyed(df, id_col, text, source)), weights)
-    names = {c: f"__{c}" for c in ("src", "key", "times", "last_bucket", "last_key", "epochs")}
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), source_key(F.col(source)).alias("src"), sampling_key(F.col(id_col), F.col(text)).alias("key"))
-    rows = rows.join(small(steps.select("src", "epochs", "last_bucket", "last_key")), "src").withColumn("times", times(F.col("key"))).where(F.col("times") > 0)
+    rows = rows.join(small(steps.select("src", "epochs", "last_bucket", "last_fine", "last_key")), "src").withColumn("times", times(F.col("key"))).where(F.col("times") > 0)
     return rows.select("__row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("__n")).select("__row.*")
 
 
