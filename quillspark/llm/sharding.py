@@ -8,8 +8,12 @@ rows are dealt out once. A group of equal texts that is larger than the toleranc
 
 Only counts by boundary reach the driver: at most ``shards`` x 16 ** DIGITS a round.
 
+Slots follow the key, so that a shard comes out sorted. The rows are numbered in parts, ranges of keys with nearly equal numbers of rows, whose
+boundaries are found in the same way; a group of equal texts is spread over as many parts as it fills.
+
 Defined results: a null text has size 1 and checksum 0; rows that agree in id and text have one key and
-go to one shard, their slots in any order; an empty table gives no rows.
+go to one shard, their slots in any order; an empty table gives no rows; texts of any length count whole; columns that the caller brings stay,
+those named shard and slot are replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from quillspark.llm.common import cut, small
 DIGITS = 3
 #: Bytes that a splitter may be off, as a share of a shard.
 TOLERANCE = 0.002
-#: Rows of a shard are numbered in this many parts at once for every ROWS_IN_PART rows.
-ROWS_IN_PART = 50_000
+#: Rows are numbered in as many parts at once as have so many rows each, 16 at least and MOST_PARTS at most.
+ROWS_IN_PART, MOST_PARTS = 50_000, 4_096
 
 
 def sort_key(text: Column, id_col: Column) -> Column:
@@ -66,24 +70,37 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
 
 
 def shard_of(key: Column, bounds: list[str]) -> Column:
-    shard = F.lit(0)
-    for b in bounds:
-        shard = shard + (key >= F.lit(b)).cast("int")
-    return shard.cast("int")
+    """The number of bounds, in order, that are not above the key: a tree of comparisons."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(bounds)).cast("int")
 
 
 def assign(rows: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
-    """Add shard and slot to (key, size, ...). The slots of a shard run from 0 without a gap."""
-    rows = cut(rows)
+    """Add shard and slot to (key, size, ...). The slots of a shard run from 0 without a gap, in the order of the keys."""
+    rows = cut(rows.drop("shard", "slot"))
     bounds = splitters(rows, shards, tolerance)
-    parts = max(16, rows.count() // (ROWS_IN_PART * shards) + 1)
-    # The part follows the second hash, so that a group of equal texts is numbered in many tasks.
-    dealt = rows.withColumn("shard", shard_of(F.col("key"), bounds)).withColumn("part", F.pmod(F.conv(F.substring("key", 18, 7), 16, 10).cast("int"), F.lit(parts)).cast("int"))
-    counts = cut(dealt.groupBy("shard", "part").agg(F.count("*").alias("n")))
-    first = F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")
-    placed = dealt.withColumn("slot", F.row_number().over(W.partitionBy("shard", "part").orderBy("key")) - 1)
-    placed = placed.join(small(counts.select("shard", "part", first.alias("first"))), ["shard", "part"])
-    return placed.withColumn("slot", F.col("slot") + F.col("first")).drop("first", "part")
+    parts = min(MOST_PARTS, max(16, rows.count() // ROWS_IN_PART + 1))
+    between = splitters(rows.select("key", F.lit(1).alias("size")), parts, 0.5)
+    every = sorted({*bounds, *between})
+    first_part = {i: every.index(b) + 1 for i, b in enumerate(bounds, 1)}
+    made = f"__{max(map(len, rows.columns))}"  # begins no other column's name
+    part, before = f"{made}_part", f"{made}_before"
+    dealt = rows.withColumn(part, shard_of(F.col("key"), every))
+    # Parts that begin a shard say which one it is.
+    shard = F.lit(0)
+    for i, at in first_part.items():
+        shard = F.when(F.col(part) >= at, F.lit(i)).otherwise(shard)
+    counts = cut(dealt.groupBy(part).agg(F.count("*").alias("n")).withColumn("shard", shard.cast("int")))
+    first = F.sum("n").over(W.partitionBy("shard").orderBy(part)) - F.col("n")
+    placed = dealt.withColumn("slot", F.row_number().over(W.partitionBy(part).orderBy("key")) - 1)
+    placed = placed.join(small(counts.select(part, "shard", first.alias(before))), part)
+    return placed.withColumn("slot", F.col("slot") + F.col(before)).drop(before, part)
 
 
 def digest(documents: DataFrame, shards: int = 8) -> DataFrame:
