@@ -12,7 +12,8 @@ once, in a task of its own, so neither side has to fit into a task or be broadca
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, and
 neither do rows without an id; among equal scores the smaller id is first; a row with the query's id
 is the query's own; a repeated row is a candidate as often as it is there, and a repeated query is
-answered once. Vectors of another length are scored over the dimensions that both have.
+answered once. Vectors of another length are scored over the dimensions that both have. An empty table gives no rows; columns but
+the id and the vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from quillspark.llm.common import cut
 
-#: Rows in a block of candidates and of queries: 4,096 x 1,024 scores of 8 bytes are 32 MB.
+#: Rows in a block of candidates and of queries. A block of candidates is sent once for every block of queries.
 CANDIDATES_IN_BLOCK = 4_096
-QUERIES_IN_BLOCK = 1_024
+QUERIES_IN_BLOCK = 16_384
+#: Queries that are scored at once: 4,096 x 1,024 scores of 8 bytes are 32 MB.
+QUERIES_AT_ONCE = 1_024
 #: Parts in which the candidate blocks meet a query block, each in a task that can be its own.
 SPREAD = 64
 
@@ -100,8 +103,9 @@ def _search(k: int):
         for b in batches:
             for r in b.to_pylist():
                 own, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                acc = scores(np.frombuffer(r["q_cells"], np.int64).reshape(len(own), r["q_dims"]), np.frombuffer(r["cells"], np.int64).reshape(len(ids), r["dims"]))
-                found = list(best(acc, ids, own, k))
+                asked, cells = np.frombuffer(r["q_cells"], np.int64).reshape(len(own), r["q_dims"]), np.frombuffer(r["cells"], np.int64).reshape(len(ids), r["dims"])
+                some = range(0, len(own), QUERIES_AT_ONCE)
+                found = [(q + i, n, x) for i in some for q, n, x in best(scores(asked[i : i + QUERIES_AT_ONCE], cells), ids, own[i : i + QUERIES_AT_ONCE], k)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "query_id": np.concatenate([np.full(len(n), own[q]) for q, n, _ in found] or [np.zeros(0, np.int64)]),
