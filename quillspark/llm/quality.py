@@ -4,11 +4,11 @@ Each rule rejects a document. On a sample, what each rule would cost and reject
 are then put in the order of rejections per cost, the second chosen by what the first leaves, and so on.
 A document is tried in that order until a rule rejects it. The order changes the work, never the verdict.
 
-Cost is counted in work units of a rule (characters or words touched), not in seconds, so that reruns
-take the same order.
+Cost is counted on the sample, in characters read and written and array cells made, not in seconds, so that reruns
+take the same order. A rule over a figure that the result has anyway costs one.
 
 Defined results: a null text has no words and fails; an empty table gives an empty table; repeated rows
-are judged alike; columns of any other name are carried along.
+are judged alike; texts of any length are judged whole; columns of any other name are carried along by ``keep_good`` and not read by ``digest``.
 """
 
 from __future__ import annotations
@@ -111,24 +111,57 @@ def with_features(df: DataFrame, text: str = "text", prefix: str = "__q_") -> Da
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where ``fails`` holds; ``work`` is what finding that out costs, in touched characters or words."""
+    """Rejects where ``fails`` holds; ``work`` counts the characters and cells that finding that out takes."""
 
     name: str
     fails: Column
     work: Column
 
 
+def digits_of(text: Column) -> Column:
+    return F.coalesce(F.length(F.regexp_replace(text, "[^0-9]+", "")), F.lit(0)).cast("bigint")
+
+
+def capitals_of(text: Column) -> Column:
+    return F.coalesce(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")), F.lit(0)).cast("bigint")
+
+
+def cut_off_lines_of(lines: Column) -> Column:
+    """Lines that end in three dots."""
+    return F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("bigint")
+
+
+def bounds(n: Column, chars: Column, symbols: Column, letters: Column, digits: Column, capitals: Column) -> dict[str, Column]:
+    """The rules over counts: plain prose, also of short or long words, is well inside."""
+    return {
+        "few_words": n < 50,
+        "word_length": (chars < 3 * n) | (chars > 10 * n),
+        "symbols": symbols * 10 > n,
+        "letters": letters * 100 < 60 * chars,
+        "digits": digits * 100 > 40 * chars,
+        "capitals": (capitals * 100 > 70 * letters) & (letters > 0),
+    }
+
+
 def rules(text: Column, words: Column) -> list[Rule]:
-    """The rules in no particular order, over a text and its words as columns. The bounds leave plain prose well inside."""
+    """The rules in no particular order, over a text and its words as columns."""
     n, chars = F.size(words), F.coalesce(F.length(text), F.lit(0)).cast("double")
-    repeated_lines = let(lines_of(text), lambda ls: (F.size(ls) >= 4) & (dup_lines_of(ls) * 2 > F.size(ls)))
+    count = bounds(n, word_chars_of(words), symbols_of(text), letters_of(text), digits_of(text), capitals_of(text))
+    windows = F.greatest(n - 2, F.lit(0)).cast("double")
+    reading = {
+        "few_words": F.lit(1.0),
+        "word_length": word_chars_of(words) + n,
+        "symbols": chars + symbols_of(text),
+        "letters": chars + letters_of(text) + word_chars_of(words),
+        "digits": chars + digits_of(text) + word_chars_of(words),
+        "capitals": 2 * chars + capitals_of(text) + letters_of(text),
+    }
+    many = lambda f: let(lines_of(text), lambda ls: (F.size(ls) >= 4) & (f(ls) * 2 > F.size(ls)))
     return [
-        Rule("few_words", n < 50, chars),
-        Rule("word_length", (word_chars_of(words) < 3 * n) | (word_chars_of(words) > 10 * n), chars * 2),
-        Rule("symbols", symbols_of(text) * 10 > n, chars * 2),
-        Rule("letters", letters_of(text) * 100 < 60 * word_chars_of(words), chars * 3),
-        Rule("dup_lines", repeated_lines, chars),
-        Rule("repeats", repeat_words_of(words) * 100 > 50 * n, chars * 6),
+        *[Rule(k, count[k], reading[k].cast("double")) for k in count],
+        Rule("cut_off_lines", many(cut_off_lines_of), 2 * chars + F.size(lines_of(text))),
+        Rule("dup_lines", many(dup_lines_of), 2 * chars + F.size(lines_of(text))),
+        Rule("repeats", repeat_words_of(words) * 100 > 50 * n, windows * (4 + F.log2(windows + 2))),
     ]
 
 
@@ -142,9 +175,9 @@ def order_by_yield(counts: dict[int, int], costs: Sequence[float]) -> list[int]:
     return out
 
 
-def estimate(df: DataFrame, found: Sequence[Rule], text: Column, share: float = SAMPLE_SHARE) -> list[int]:
-    """The rules' order from a sample by hash. At most 2 ** len(found) lines of counts reach the driver."""
-    sample = df.where(F.pmod(F.xxhash64(text), F.lit(10_000)) < int(share * 10_000))
+def estimate(df: DataFrame, found: Sequence[Rule], text: Column, prepared=lambda sample: sample, share: float = SAMPLE_SHARE) -> list[int]:
+    """The rules' order from a sample by hash, prepared as the rules want it. At most 2 ** len(found) lines of counts reach the driver."""
+    sample = prepared(df.where(F.pmod(F.xxhash64(text), F.lit(10_000)) < int(share * 10_000)))
     mask = sum((F.coalesce(r.fails, F.lit(True)).cast("int") * (1 << i) for i, r in enumerate(found)), F.lit(0))
     rows = sample.select(mask.alias("m"), *[r.work.alias(f"w{i}") for i, r in enumerate(found)]).groupBy("m").agg(F.count("*").alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(found))]).collect()
     total = max(1, sum(r["n"] for r in rows))
@@ -172,19 +205,17 @@ def digest(documents: DataFrame) -> DataFrame:
     """Base features, base verdict and the cascade's verdict per document."""
     docs = documents.select("doc_id", "text")
     p, t = "__q_", F.col("text")
-    sampled = docs.withColumn("w", words_of(t))
-    order = estimate(sampled, rules(t, F.col("w")), t)
-    # The same rules over features that are in the result anyway.
     f = lambda c: F.col(p + c)
-    by_feature = [
-        Rule("few_words", f("n_words") < 50, F.lit(0)),
-        Rule("word_length", (f("word_chars") < 3 * f("n_words")) | (f("word_chars") > 10 * f("n_words")), F.lit(0)),
-        Rule("symbols", f("n_symbols") * 10 > f("n_words"), F.lit(0)),
-        Rule("letters", letters_of(t) * 100 < 60 * f("word_chars"), F.lit(0)),
-        Rule("dup_lines", (f("n_lines") >= 4) & (f("n_dup_lines") * 2 > f("n_lines")), F.lit(0)),
-        Rule("repeats", f("n_repeat_words") * 100 > 50 * f("n_words"), F.lit(0)),
-    ]
-    out = with_features(docs, "text", p).withColumn("rejected_by", first_failed(by_feature, order))
+    # What the result shows anyway costs one to look at; what it doesn't is computed only where no rule before it has rejected.
+    count = bounds(f("n_words"), f("word_chars"), f("n_symbols"), letters_of(t), digits_of(t), capitals_of(t))
+    chars, read = F.coalesce(F.length(t), F.lit(0)).cast("double"), {"letters": letters_of(t), "digits": digits_of(t), "capitals": capitals_of(t)}
+    many = lambda n: (f("n_lines") >= 4) & (n * 2 > f("n_lines"))
+    found = [Rule(k, count[k], chars * (2 if k == "capitals" else 1) + read[k] if k in read else F.lit(1.0)) for k in count]
+    found.append(Rule("cut_off_lines", many(cut_off_lines_of(lines_of(t))), 2 * chars + f("n_lines")))
+    found.append(Rule("dup_lines", many(f("n_dup_lines")), F.lit(1.0)))
+    found.append(Rule("repeats", f("n_repeat_words") * 100 > 50 * f("n_words"), F.lit(1.0)))
+    order = estimate(docs, found, t, lambda sample: with_features(sample, "text", p))
+    out = with_features(docs, "text", p).withColumn("rejected_by", first_failed(found, order))
     base_failed = (f("n_words") < 50) | (100 * f("n_repeat_words") > 50 * f("n_words"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *[f(c).alias(c) for c in names], base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
@@ -198,10 +229,13 @@ g AS (SELECT rid, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM r WHE
 k AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
 c AS (SELECT rid, count(DISTINCT x) AS reps FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS x FROM k WHERE n > 1) GROUP BY rid),
 f AS (SELECT doc_id, t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-             len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(reps, 0)::BIGINT AS n_repeat_words FROM r LEFT JOIN c USING (rid)),
+             len(ls)::BIGINT AS n_lines, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_off,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(reps, 0)::BIGINT AS n_repeat_words FROM r LEFT JOIN c USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR n_symbols * 10 > n_words
-            OR length(regexp_replace(t, '[^\p{L}]+', '', 'g')) * 100 < 60 * word_chars OR (n_lines >= 4 AND n_dup_lines * 2 > n_lines)) AS kept
+            OR letters * 100 < 60 * word_chars OR length(regexp_replace(t, '[^0-9]+', '', 'g')) * 100 > 40 * word_chars
+            OR (letters > 0 AND length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) * 100 > 70 * letters)
+            OR (n_lines >= 4 AND (n_dup_lines * 2 > n_lines OR n_cut_off * 2 > n_lines))) AS kept
 FROM b
 """
