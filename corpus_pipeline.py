@@ -2,6 +2,10 @@
 
 Every stage is a function of (spark, docs, sf_dir) over what its predecessor kept; its result is written
 as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: a null or empty text has too few words and goes at the first stage, a text of any length is taken whole; rows alike
+are near-duplicates, of which one stays (that with the smallest id, then text hash; one without an id only if there is no other); a null source is a source of its own;
+an empty table gives no rows. Extra columns are carried to the mix, whatever their names, and left out of the encoding.
 """
 
 from __future__ import annotations
@@ -54,11 +58,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What lies between two stages is written to the shared folder and read again."""
+    """All stages over documents. What lies between two stages is written to the shared folder, read again, and removed when the stage behind it is written; the mix stays for the encoding to read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
