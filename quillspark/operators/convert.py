@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.repairs import repaired_markdown
 from quillspark.functions.tokens import token_count
-from quillspark.operators import html_blocks as hb, xml_forms
+from quillspark.operators import form_tables as ft, html_blocks as hb, xml_forms
+from quillspark.operators.legacy import paper_markdown
 from quillspark.operators.lines import assemble, tidy_tables
 from quillspark.operators.ocr import SKIPPED
 from quillspark.sources import submissions as sub
@@ -40,9 +41,9 @@ def items_of(body, form) -> Column:
             way, content = r["route"], r["content"]
             html = F.when(way == "xml", sub.without_xml(content)).otherwise(content)
             pages = F.array(item(DOCUMENTS, seq, 0, "html", "html", kind, title, html))
-            forms = F.transform(sub.xml_blobs(content), lambda x, i: item(XMLS, seq, i, "xml", "xml", "", "", xml_forms.repaired(x)))
+            forms = F.transform(sub.xml_blobs(content), lambda x, i: item(XMLS, seq, i, "xml", "xml", "", ft.form_tables(x, ft.root_of(x), form), xml_forms.repaired(x)))
             note = F.array(item(PDFS, seq, 0, "plain", "pdf", kind, "", SKIPPED))
-            plain = F.array(item(DOCUMENTS, seq, 0, "plain", "text", kind, title, sub.plaintext_block(content)))
+            plain = F.array(item(DOCUMENTS, seq, 0, "plain", "text", kind, title, F.when(way == "paper", paper_markdown(body, form)).otherwise(sub.plaintext_block(content))))
             return F.when(way == "pdf", note).when(way == "html", pages).when(way == "xml", F.concat(pages, forms)).otherwise(plain)
 
         found = F.flatten(F.transform(F.array(routed), put))
@@ -62,12 +63,12 @@ def parts(submissions: DataFrame, key: str = "path", body: str = "body", to_mmd:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             root, text, error = [], [], []
-            for way, content in zip(b["kind"], b["content"]):
+            for way, content, form in zip(b["kind"], b["content"], b["form"]):
                 read = (None, content, None)
                 if way == "html":
                     read = (None, tidy_tables(hb.page_markdown(content, "", to_mmd)), None)
                 elif way == "xml":
-                    read = xml_forms.read_xml(content)
+                    read = xml_forms.read_xml(content, lambda root, form=form: ft.record_tags(root, form))
                     if read[2] is not None:
                         read = (None, f"> XML part that can't be read: {read[2]}\n\n```xml\n{(content or '').strip()}\n```", read[2])
                 for column, x in zip((root, text, error), read):
@@ -76,9 +77,10 @@ def parts(submissions: DataFrame, key: str = "path", body: str = "body", to_mmd:
 
     d = rows.mapInPandas(run, f"key {kind}, {PARTS.rsplit(',', 1)[0]}, root string, text string, error string")
     title = xml_forms.form_title(F.col("root"), F.col("form"))
-    named = F.when(title.isNotNull() & F.col("root").isNotNull(), F.concat(F.lit("## "), title, F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    tables = F.when(F.col("root").isNotNull(), F.nullif("title", F.lit("")))
+    named = F.concat_ws("\n\n", F.when(F.col("root").isNotNull(), F.concat(F.lit("## "), title)), F.nullif("text", F.lit("")), tables)
     text = F.when(F.col("kind") == "xml", named).when(F.col("kind") == "html", repaired_markdown(F.col("text"))).otherwise(F.col("text"))
-    whole = F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.concat("title", text))
+    whole = F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.concat(F.when(F.col("kind") == "xml", F.lit("")).otherwise(F.col("title")), text))
     label = F.when(F.col("kind") == "xml", F.coalesce(title, "root", F.lit("unreadable"))).otherwise(F.col("label"))
     return d.select(F.col("key").alias(key), "grp", "seq", "n", "bucket", label.alias("label"), whole.alias("text"), "error").where("text is not null")
 

@@ -217,6 +217,24 @@ def fits(table: FormTable, root: Column, form: Column) -> Column:
     return kind.startswith(table.form)
 
 
+def record_tags(root: str, form: str | None) -> frozenset[str]:
+    """The names, in lower case, of the elements that a file's tables show; the plain twin of ``fits``."""
+    kind, found = (form or "").upper(), set()
+    for t in TABLES:
+        if t.root == "ownershipdocument":
+            own = root.lower() == t.root and (kind.startswith("3") == (t.form == "3"))
+        else:
+            own = root.lower() == t.root if t.root and not t.form else kind.startswith(t.form)
+        if own:
+            found.update(t.record.lower().split("|"))
+    return frozenset(found | ({"footnote"} if root.lower() == "ownershipdocument" else set()))
+
+
+def root_of(xml: Column) -> Column:
+    """The name of a file's root element."""
+    return F.regexp_extract(xml, r"(?s)<(?:\w+:)?([A-Za-z]\w*)(?=[\s/>])[^>]*>", 1)
+
+
 def footnote_list(xml: Column) -> Column:
     """The footnotes with their numbers, a line each; null without one."""
     notes = F.transform(records_of(xml, "footnote"), lambda x, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), plain_text(x)))
@@ -245,6 +263,6 @@ def comment_items(xml: Column) -> Column:
 
 def document_of(files: DataFrame, key: str, xml: str) -> DataFrame:
     """Of a submission's XML files the first cover document and the first information table: (key, cover, info), null where there is none."""
-    is_root = lambda name: F.lower(F.regexp_extract(xml, r"(?s)<(?:\w+:)?(\w+)(?=[\s/>])[^>]*>", 1)) == name
+    is_root = lambda name: F.lower(root_of(F.col(xml))) == name
     first = lambda name: F.min_by(F.when(is_root(name), F.col(xml)), F.when(is_root(name), F.col("seq")))
     return files.groupBy(key).agg(first("edgarsubmission").alias("cover"), first("informationtable").alias("info"))

@@ -205,3 +205,80 @@ def lint(cells: DataFrame) -> DataFrame:
         F.when(x.rlike(r"^[$£€¥]$") & nxt.rlike(r"^\s*[\d(]"), "split_currency").when(x.isin(")", "%", ")%"), "lone_suffix").when(x.rlike(r"^\$?\([\d,.]+$"), "open_parenthesis").when(x.rlike(r"##[A-Z_]+(_\d+)?##"), "token_left")
     )
     return cells.withColumn("rule", rule).where("rule is not null").select(KEY, "r", "c", "rule")
+
+
+# -- cells of one row or column ----------------------------------------------------------------------------
+
+
+def scan_table(markdown: Column) -> Column:
+    """The rows of a Markdown table as arrays of cells, the ruler left out, every row as wide as the first."""
+    lines = F.filter(F.transform(F.split(markdown, "\n", -1), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~(x.rlike(r"^\|?[|:\-\s]*$") & x.contains("-")))
+    cells = F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|", -1))
+    width = F.size(F.get(cells, F.lit(0)))
+    return F.transform(cells, lambda r: F.when(F.size(r) < width, F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))).otherwise(F.slice(r, 1, width)))
+
+
+def borders_up(cells: DataFrame, mark: str = "<BORDER_TOP>", up: str = "<BORDER>") -> DataFrame:
+    """A border above a cell is one below the cell over it; in the first row it goes."""
+    below = F.lead(F.col("text").contains(mark), 1, False).over(W.partitionBy(KEY, "c").orderBy("r"))
+    bare = F.replace("text", F.lit(mark), F.lit(""))
+    return cells.withColumn("text", F.when(below & ~bare.contains(up), F.concat(bare, F.lit(up))).otherwise(bare))
+
+
+def with_left_filled(cells: DataFrame) -> DataFrame:
+    """Add left_c and left_text: the nearest cell on the left that isn't blank."""
+    w = W.partitionBy(KEY, "r").orderBy("c").rowsBetween(W.unboundedPreceding, -1)
+    at = F.last(F.when(~t.is_blank(F.col("text")), F.struct(F.col("c").alias("c"), F.col("text").alias("text"))), ignorenulls=True).over(w)
+    return cells.withColumn("left", at).select(*cells.columns, F.col("left.c").alias("left_c"), F.col("left.text").alias("left_text"))
+
+
+def _heads(cells: DataFrame, header_rows: int) -> DataFrame:
+    """(table_id, c, heads, filled): each column's header cells in order, and how many of its body cells aren't blank."""
+    head = F.array_sort(F.collect_list(F.when(F.col("r") < header_rows, F.struct("r", t.comparison_key(F.col("text")).alias("x")))))
+    return cells.groupBy(KEY, "c").agg(F.transform(head, lambda s: s["x"]).alias("heads"), F.count_if((F.col("r") >= header_rows) & ~t.is_blank(F.col("text"))).alias("filled"))
+
+
+def drop_blank_subset_headers(cells: DataFrame, header_rows: int = 1) -> DataFrame:
+    """An inner column without figures goes if its header is part of that of a neighbour that has some."""
+    w = W.partitionBy(KEY).orderBy("c")
+    around = F.array(*[F.struct(f("heads").over(w).alias("heads"), f("filled").over(w).alias("filled")) for f in (F.lag, F.lead)])
+    inner = F.lag("c").over(w).isNotNull() & F.lead("c").over(w).isNotNull()
+    part_of = lambda n: F.forall(F.zip_with("heads", n["heads"], lambda a, b: (a == "") | ((b != "") & F.contains(b, a))), lambda ok: ok)
+    d = _heads(cells, header_rows).withColumns({"around": around, "inner": inner})
+    gone = F.col("inner") & (F.col("filled") == 0) & F.exists("heads", lambda x: x != "") & F.exists("around", lambda n: F.coalesce(n["filled"] > 0, F.lit(False)) & part_of(n))
+    return keep_columns(cells, d.where(~F.coalesce(gone, F.lit(False))))
+
+
+def drop_blank_repeats(cells: DataFrame, header_rows: int = 1) -> DataFrame:
+    """Of columns under one visible header those without figures go, but one stays where none has any."""
+    group = W.partitionBy(KEY, "heads")
+    d = _heads(cells, header_rows).withColumns({"n": F.count("*").over(group), "some": F.max("filled").over(group) > 0, "nth": F.row_number().over(group.orderBy("c"))})
+    gone = (F.col("n") > 1) & F.exists("heads", lambda x: x != "") & (F.col("filled") == 0) & (F.col("some") | (F.col("nth") > 1))
+    return keep_columns(cells, d.where(~gone))
+
+
+def superscripts_left(cells: DataFrame) -> DataFrame:
+    """A column of superscripts only goes, each put behind the cell on its left."""
+    only = F.col("text").rlike(r"^(?:\s*(?:<sup\b[^>]*>.*?</sup>|##SUP##.*?##/SUP##)\s*)+$")
+    d = cells.groupBy(KEY, "c").agg(F.bool_and(only | t.is_blank(F.col("text"))).alias("a"), F.bool_or(only).alias("b")).select(KEY, "c", (F.col("a") & F.col("b") & (F.col("c") > 0)).alias("marks"))
+    d = cells.join(d, [KEY, "c"]).withColumns({"next": F.lead("text").over(W.partitionBy(KEY, "r").orderBy("c")), "next_marks": F.lead("marks", 1, False).over(W.partitionBy(KEY, "r").orderBy("c"))})
+    text = F.when(F.col("next_marks"), F.concat("text", F.when(t.is_blank(F.col("next")), "").otherwise(F.trim("next")))).otherwise(F.col("text"))
+    return d.where(~F.col("marks")).select(KEY, "r", "c", text.alias("text"))
+
+
+def drop_tag_only(cells: DataFrame, skip_rows: int = 0) -> DataFrame:
+    """Columns, then rows behind the first ones, that show nothing without tokens, tags and dashes go."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\b(?:nan|none)\b|##/?[A-Z_]+(?:_\d+)?##|<BORDER(?:_TOP)?>|[\u00a0\u200b-\u200d\u2060\u2063\ufeff\s—]", "")
+    d = cells.withColumn("shown", bare != "")
+    some = F.max(F.when(F.col("r") >= skip_rows, F.col("shown")).otherwise(False))
+    d = d.withColumn("in_column", some.over(W.partitionBy(KEY, "c"))).where("in_column")
+    d = d.withColumn("in_row", (F.col("r") < skip_rows) | F.max("shown").over(W.partitionBy(KEY, "r"))).where("in_row")
+    return d.select(*cells.columns)
+
+
+def drop_covered(cells: DataFrame) -> DataFrame:
+    """Of the columns that spanning cells cover, those without a cell of their own go. Cells have span, the number of the spanning cell they belong to."""
+    w = W.partitionBy(KEY, "r").orderBy("c")
+    covered = F.coalesce(F.col("span") == F.lag("span").over(w), F.lit(False)) | t.is_blank(F.col("text"))
+    own = cells.withColumn("covered", covered).groupBy(KEY, "c").agg(F.bool_or(~F.col("covered")).alias("own"))
+    return keep_columns(cells, own.where(F.col("own") | (F.col("c") == 0)))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.functions.text import STATE_CODES
 from quillspark.operators import grid_kernel as gk
 
 MISSING = "—"
@@ -55,9 +56,6 @@ FORMS = (
 )
 #: Answers.
 ANSWERS = {"y": "Yes", "n": "No", "true": "Yes", "false": "No"}
-#: Countries that the forms code in two characters and that are none of the states.
-COUNTRIES = {"X0": "United Kingdom", "X1": "United States", "D8": "Virgin Islands, British", "E9": "Cayman Islands", "D0": "Bermuda", "A6": "Ontario, Canada", "2M": "Germany", "I0": "France", "M0": "Japan", "V8": "Switzerland", "L2": "Ireland", "N4": "Luxembourg", "U0": "Singapore", "F4": "China", "K3": "Hong Kong", "C3": "Australia"}
-
 
 def form_title(root: Column, form: Column) -> Column:
     """The title by the first line of FORMS that fits, null if none does."""
@@ -97,8 +95,8 @@ def shown(tag: str, value: str) -> str:
         return MISSING
     if v.lower() in ANSWERS and len(v) in (1, 4, 5) and not low.endswith(("name", "code", "type")):
         return ANSWERS[v.lower()]
-    if low.endswith(("country", "statecountry", "stateorcountry")) and v in COUNTRIES:
-        return COUNTRIES[v]
+    if low.endswith(("country", "stateorcountrycode", "statecountry", "stateorcountry")) and v in STATE_CODES:
+        return STATE_CODES[v].title()
     if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", v):
         if 1 <= int(m[2]) <= 12:
             return f"{'January February March April May June July August September October November December'.split()[int(m[2]) - 1]} {int(m[3])}, {m[1]}"
@@ -134,8 +132,8 @@ def leaves(xml: str) -> list[tuple[str, int, str, str]]:
     return out
 
 
-def markdown(xml: str) -> str:
-    """Single fields as a list, repeating groups as tables, nested parts under headings."""
+def markdown(xml: str, shown_elsewhere: frozenset[str] = frozenset()) -> str:
+    """Single fields as a list, repeating groups as tables, nested parts under headings; elements of some names are left out, with the headings above them alone."""
     parts: list[str] = []
 
     def record(e) -> dict[str, str]:
@@ -148,7 +146,7 @@ def markdown(xml: str) -> str:
         return out or {labelled(_name(e.tag)): shown(_name(e.tag), e.text or "")}
 
     def visit(e, depth):
-        kids = [x for x in e if isinstance(x.tag, str)]
+        kids = [x for x in e if isinstance(x.tag, str) and _name(x.tag).lower() not in shown_elsewhere]
         counts: dict[str, int] = {}
         for x in kids:
             counts[x.tag] = counts.get(x.tag, 0) + 1
@@ -167,17 +165,23 @@ def markdown(xml: str) -> str:
                 parts.append("---\n\n" + gk.gfm([names, *[[r.get(k, MISSING) for k in names] for r in rows]]) + "\n\n---")
             elif len(x):
                 parts.append(f"{'#' * min(6, depth + 1)} {labelled(_name(x.tag))}")
+                before = len(parts)
                 visit(x, depth + 1)
+                if len(parts) == before:
+                    parts.pop()
 
     root = ET.fromstring(xml)
     visit(root, 2)
+    if not len(root) and (root.text or "").strip():
+        parts.append(f"- **{labelled(_name(root.tag))}:** {shown(_name(root.tag), root.text)}")
     return "\n\n".join(parts)
 
 
-def read_xml(xml: str | None) -> tuple[str | None, str | None, str | None]:
+def read_xml(xml: str | None, names_shown=lambda root: frozenset()) -> tuple[str | None, str | None, str | None]:
     """(root, Markdown, error) of one repaired XML text; without an error the first two are there, else only the error."""
     try:
-        return _name(ET.fromstring(xml).tag), markdown(xml), None
+        root = _name(ET.fromstring(xml).tag)
+        return root, markdown(xml, names_shown(root)), None
     except (ET.ParseError, TypeError, RecursionError) as e:
         return None, None, str(e)[:200]
 

@@ -8,7 +8,7 @@ from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import repairs, text as t
-from quillspark.operators import convert as cv, grid, grid_kernel as gk, html_blocks as hb, ocr, xml_forms as xf
+from quillspark.operators import convert as cv, grid, grid_kernel as gk, html_blocks as hb, lines as ln, ocr, xml_forms as xf
 from quillspark.sources import submissions as sub
 from quillspark.streaming import ingest
 
@@ -136,3 +136,24 @@ def test_markdown_repairs(spark):
     ]
     df = spark.createDataFrame(rows, "s string, want string").select("want", repairs.repaired_markdown(F.col("s")).alias("got"))
     assert [r["got"] for r in df.collect()] == [w for _, w in rows]
+
+
+def test_unreadable_xml_stays_with_its_error_and_forms_show_their_tables(spark):
+    head = "<SEC-HEADER>\nCONFORMED SUBMISSION TYPE:\t{}\n</SEC-HEADER>\n<DOCUMENT>\n<TYPE>{}\n<TEXT>{}</TEXT></DOCUMENT>"
+    owned = "<ownershipDocument><issuer><issuerName>ACME</issuerName></issuer><nonDerivativeTable><nonDerivativeTransaction><securityTitle><value>Common</value></securityTitle></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"
+    many = "".join(f"<XML><n>{i}</n></XML>" for i in range(1_100))
+    bodies = [head.format("4", "4", f"<XML>{owned}</XML>"), head.format("ZZ", "ZZ", "<XML><a><b></a></XML>"), head.format("ZZ", "ZZ", many)]
+    d = spark.createDataFrame(list(enumerate(bodies)), "path int, body string")
+    got = {r["path"]: r for r in cv.convert(d).collect()}
+    assert "- **Issuer Name:** ACME" in got[0]["text"] and "| Common |" in got[0]["text"] and got[0]["text"].count("Common") == 1 and "Non Derivative Table" not in got[0]["text"]
+    assert "can't be read" in got[1]["text"] and "<a><b></a>" in got[1]["text"]
+    errors = cv.parts(d).where("error is not null").collect()
+    assert [r["path"] for r in errors] == [1] and errors[0]["bucket"] == "xml"
+    assert cv.parts(d).where("path = 2").count() == 1_101
+
+
+def test_both_table_rules_on_a_finished_text_are_those_over_rows(spark):
+    text = "a\n| GAAP income | 1 |\n|---|---|\n| less tax | 2 |\n| — | ^^ |\n| **Total** | 3 |\n| more | 4 |\n\n| GAAP loss | 1 |\n| part | 2 |\n| Non-GAAP loss | 3 |\n| last | 5 |\nb"
+    d = ln.indent_reconciliations(ln.drop_empty_body_rows(ln.explode_lines(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")))
+    assert ln.tidy_tables(text) == "\n".join(r["line"] for r in d.orderBy("pos").collect())
+    assert "| &nbsp;&nbsp;&nbsp;&nbsp;less tax | 2 |" in ln.tidy_tables(text)
