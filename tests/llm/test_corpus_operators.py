@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, near_dedup, sharding, topk
 from test_row_operators import AWKWARD
@@ -87,6 +88,19 @@ def test_a_group_of_copies_larger_than_a_shard_is_split(docs):
     shards_hold(sharding.digest(docs(rows)).collect(), 1000, 150)
 
 
+def test_shards_come_out_sorted_and_callers_columns_stay(docs):
+    rows = [(i, "the same text" if i % 3 == 0 else prose(i, 6)) for i in range(500)]
+    keyed = docs(rows).select(sharding.sort_key(F.col("text"), F.col("doc_id")).alias("key"), F.lit(5).alias("size"), *[F.lit("x").alias(c) for c in ("first", "part", "n", "slot")])
+    got = sorted(sharding.assign(keyed).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert set(got[0].asDict()) == {"key", "size", "first", "part", "n", "shard", "slot"} and {r["first"] + r["part"] + r["n"] for r in got} == {"xxx"}
+    assert [r["key"] for r in got] == sorted(r["key"] for r in got)
+    keys = sorted(r["key"] for r in got)
+    bounds = keys[20::37]
+    found = keyed.select("key", sharding.shard_of(F.col("key"), bounds).alias("s")).collect()
+    assert all(r["s"] == sum(b <= r["key"] for b in bounds) for r in found)
+    assert sorted(r["shard"] for r in got) == [r["shard"] for r in got]
+
+
 def test_shards_of_awkward_rows(docs):
     got = sharding.digest(docs(AWKWARD)).collect()
     assert sorted(r["slot"] for r in got) and len(got) == len(AWKWARD)

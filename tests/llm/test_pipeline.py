@@ -1,11 +1,16 @@
 """The pipeline against the operators' plain versions on a small fixture."""
 
+import hashlib
+import math
+import re
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from quillspark.llm import quality, secrets, sentencepiece_codec as codec
-from test_corpus_operators import changed, prose
-from test_row_operators import quality_by_hand
+from quillspark.llm import near_dedup, quality, secrets, sentencepiece_codec as codec
+from test_corpus_operators import changed, prose, targets_by_hand
+from test_row_operators import AWKWARD, quality_by_hand, verdict_by_hand
 
 
 def fixture_rows():
@@ -41,6 +46,50 @@ def test_stages_take_effect(spark, docs, tmp_path):
     assert sorted(map(repr, whole)) == sorted(repr(r) for r in df.collect())
 
 
+def mixed_by_hand(rows):
+    """How often each of (doc_id, text, source) is taken."""
+    size = lambda t: len(re.findall(quality.WORD, t or ""))
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(size(t) for _, t, x in rows if x == s) for s in names}
+    target, times = targets_by_hand(sizes), {}
+    for s in names:
+        keyed = []
+        for i, t, _ in (r for r in rows if r[2] == s):
+            digest = hashlib.md5(f"{i}\x1f{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
+            seen = re.sub(r"[\x20\x09-\x0D]+", "", t or "")
+            weight = max(0.05, sum(c.isalpha() for c in seen) / len(seen) if seen else 0.05)
+            keyed.append((-math.log((int(digest[:13], 16) + 0.5) / 2**52) / weight, i, size(t)))
+        epochs = min(3, int(target[s] / sizes[s])) if sizes[s] else 0
+        left, run = target[s] - epochs * sizes[s], 0
+        for _, i, n in sorted(keyed):
+            run += n
+            times[i] = epochs + (left > 0 and run - n / 2 <= left)
+    return times
+
+
+def test_run_is_the_brute_force_pipeline(spark, docs, tmp_path):
+    """Every rule on every text, all pairs, all spans, a sort of every source, the library's ids."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rows = [*fixture_rows(), *((2000 + k, t, None, None) for k, (_, t) in enumerate(AWKWARD))]
+    docs(rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
+    good = [(i, t, s) for i, t, _, s in rows if verdict_by_hand(t)]
+    words = {i: near_dedup.words_of(t) for i, t, _ in good}
+    code = {w: n for n, w in enumerate({w for x in words.values() for w in x})}
+    ids = {i: np.array([code[w] for w in x], np.int32) for i, x in words.items()}
+    root = {i: i for i in ids}
+    for i in sorted(ids):
+        for j in sorted(ids):
+            if i < j and near_dedup.alike(ids[i], ids[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    unique = [(i, secrets.redact(t, secrets.find_spans(t)), s) for i, t, s in good if root[i] == i]
+    times = mixed_by_hand(unique)
+    sp = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
+    want = [(i, s, sp.encode(t)) for i, t, s in unique for _ in range(times[i])]
+    got = [(r["doc_id"], r["source"], list(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 20
+
+
 def test_pipeline_of_nothing(spark, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -55,6 +55,16 @@ def test_licence_templates_allow_slack_and_need_their_phrases(docs):
     assert got[1]["n_base"] == 0 and got[1]["first_word"] is None
 
 
+def test_whole_wordings_are_found_where_words_differ_and_columns_stay(docs):
+    wordings = {t.label: t.wording for t in license_scan.TEMPLATES if len(t.wording.split()) > 40}
+    texts = [f"Some file. {' '.join([*w.split()[:-1], 'VERY', w.split()[-1]]).upper()} And so on." for w in wordings.values()]
+    df = docs(list(enumerate(texts))).selectExpr("*", "'x' as __lic_words", "'y' as __lic_hits", "'z' as __lic_found")
+    got = license_scan.scan(df).collect()
+    assert {"__lic_words", "__lic_hits", "doc_id"} <= set(got[0].asDict()) and {r["__lic_words"] for r in got} == {"x"}
+    for r, label in zip(sorted(got, key=lambda r: r["doc_id"]), wordings):
+        assert label in {m["label"] for m in r["__lic_found"]} and max(m["score"] for m in r["__lic_found"]) > 0.5, label
+
+
 def test_licences_of_nothing(docs):
     assert license_scan.digest(docs([])).count() == 0
 
@@ -92,6 +102,28 @@ def test_quality_keeps_prose_and_the_filter_agrees_with_the_digest(docs):
     assert quality.keep_good(docs([])).count() == 0
 
 
+def verdict_by_hand(text):
+    """Whether a text is kept, rule by rule in plain Python."""
+    t = text or ""
+    n, chars, symbols, dup, repeated = quality_by_hand(text)
+    lines = [x for x in t.split("\n") if re.search(quality.WORD, x)]
+    letters, capitals = sum(c.isalpha() for c in t), sum(c.isupper() for c in t)
+    cut_off = sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*\Z", x)) for x in lines)
+    fails = [n < 50, chars < 3 * n or chars > 10 * n, symbols * 10 > n, letters * 100 < 60 * chars, sum(c in "0123456789" for c in t) * 100 > 40 * chars, letters > 0 and capitals * 100 > 70 * letters]
+    return not any([*fails, len(lines) >= 4 and dup * 2 > len(lines), len(lines) >= 4 and cut_off * 2 > len(lines), repeated * 100 > 50 * n])
+
+
+def test_verdicts_are_those_of_all_rules(docs):
+    r = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(r.choice(list("abcdefghij"), int(k))) for k in r.integers(2, 9, n))
+    texts = [prose(80), prose(80).upper(), "\n".join(prose(12) + "..." for _ in range(8)), "\n".join(prose(12) for _ in range(8)), " ".join(f"ab{i * 7919}" for i in range(90)), prose(49), prose(50), (prose(20) + "\n") * 6, prose(60) + " #%$" * 3, prose(60) + " 1234567" * 40]
+    rows = [*AWKWARD, *((100 + i, t) for i, t in enumerate(texts))]
+    got = {(r["doc_id"], r["n_words"]): r["kept"] for r in quality.digest(docs(rows)).collect()}
+    assert got == {(i, quality_by_hand(t)[0]): verdict_by_hand(t) for i, t in rows}
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs(rows)).collect()) == sorted(i for i, t in rows if verdict_by_hand(t))
+    assert 0 < sum(got.values()) < len(got)
+
+
 def test_cascade_order_prefers_rejections_per_cost():
     # Rule 1 rejects most but is dear; rule 2 rejects only what rule 0 rejects as well.
     assert quality.order_by_yield({0b000: 50, 0b001: 10, 0b101: 10, 0b010: 30}, [1.0, 5.0, 1.0]) == [0, 1, 2]
