@@ -15,6 +15,7 @@ _SIGN = re.compile(r"(?:[$£€¥￥]|C\$|A\$|R\$)")
 _NUMBER = re.compile(r"\(?-?[\d.,]*\d[\d.,]*\)?%?")
 _OPEN_NUMBER = re.compile(r"[$£€¥]?\(?-?[\d.,]*\d[\d.,]*\)?")
 _SUFFIX = re.compile(r"%|\)|\)%|\)bp|x|\(\d{1,2}\)|<sup>.*</sup>")
+_SUP = re.compile(r"\s*(?:<sup\b[^>]*>.*?</sup>\s*)+")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _CONTENT = re.compile(r"[^\W_]|[$£€¥☐☒]")
 _MONEY = re.compile(r"[$£€¥%]|\(\d[\d,.]*\)?")
@@ -24,6 +25,17 @@ def blank(cell: str) -> bool:
     return bool(_BLANK.fullmatch(cell.replace("\xa0", " ").replace("&nbsp;", " ")))
 
 
+def plain(cell: str) -> str:
+    """A cell without the emphasis around it."""
+    return cell.replace("\xa0", " ").replace("&nbsp;", " ").replace("*", "").strip()
+
+
+def is_figure(cell: str) -> bool:
+    """A number, with its sign or suffix, that isn't a year."""
+    bare = _SIGN.sub("", plain(cell)).strip()
+    return bool(_NUMBER.fullmatch(bare)) and not _YEAR.fullmatch(bare)
+
+
 def columns(grid: Grid) -> list[list[str]]:
     return [list(c) for c in zip(*grid)]
 
@@ -38,15 +50,15 @@ def squared(grid: Grid) -> Grid:
 
 
 def is_financial(grid: Grid) -> bool:
-    """Figures in several cells beyond the labels."""
-    cells = [c for row in grid for c in row[1:] if not blank(c)]
-    return bool(cells) and (sum(bool(_MONEY.search(c)) or bool(_NUMBER.fullmatch(c.strip())) for c in cells) >= max(2, len(cells) // 3))
+    """Figures in several cells beyond the labels; what a spanning cell repeats in its row counts once."""
+    cells = [c for row in grid for c in dict.fromkeys(row[1:]) if not blank(c)]
+    return bool(cells) and (sum(bool(_MONEY.search(c)) or bool(_NUMBER.fullmatch(plain(c))) for c in cells) >= max(2, len(cells) // 3))
 
 
 def header_rows(grid: Grid) -> int:
     """Rows before the first one with a figure beyond its label."""
     for r, row in enumerate(grid):
-        if any(_NUMBER.fullmatch(c.strip().lstrip("$£€¥").strip()) and not _YEAR.fullmatch(c.strip()) for c in row[1:]):
+        if any(map(is_figure, row[1:])):
             return r
     return min(1, len(grid))
 
@@ -63,19 +75,29 @@ def glue(grid: Grid) -> Grid:
     for row in grid:
         row = list(row)
         for c in range(len(row) - 1):
-            if _SIGN.fullmatch(row[c].strip()):
+            if _SIGN.fullmatch(plain(row[c])):
                 at = next((k for k in range(c + 1, len(row)) if row[k].strip()), None)
-                if at is not None and _NUMBER.fullmatch(row[at].strip()) or at is not None and row[at].strip() in ("—", "-", "–"):
-                    row[at], row[c] = row[c].strip() + row[at].strip(), ""
+                if at is not None and (_NUMBER.fullmatch(plain(row[at])) or plain(row[at]) in ("—", "-", "–")):
+                    row[at], row[c] = plain(row[c]) + row[at].strip(), ""
         for c in range(1, len(row)):
-            if _SUFFIX.fullmatch(row[c].strip()):
+            if _SUFFIX.fullmatch(plain(row[c])):
                 at = next((k for k in range(c - 1, 0, -1) if row[k].strip()), None)
-                if at is not None and _OPEN_NUMBER.fullmatch(row[at].strip()) and not _YEAR.fullmatch(row[at].strip()):
-                    row[at], row[c] = row[at].strip() + row[c].strip(), ""
+                if at is not None and _OPEN_NUMBER.fullmatch(plain(row[at])) and not _YEAR.fullmatch(plain(row[at])):
+                    row[at], row[c] = row[at].strip() + plain(row[c]), ""
         out.append(row)
     return out
 
 
+def glue_superscripts(grid: Grid) -> Grid:
+    """A column of superscripts only goes, each put behind the cell on its left."""
+    cols = columns(grid)
+    for c in range(len(cols) - 1, 0, -1):
+        if any(map(_SUP.fullmatch, cols[c])) and all(_SUP.fullmatch(x) or blank(x) for x in cols[c]):
+            cols[c - 1] = [a.rstrip() + (b.strip() if _SUP.fullmatch(b) else "") for a, b in zip(cols[c - 1], cols[c])]
+            del cols[c]
+    return [list(r) for r in zip(*cols)]
+
+
 def merge_headers(grid: Grid, heads: int) -> Grid:
     """Where a column has nothing but a header, and its neighbour has that header or none, the two are one."""
     cols = columns(grid)
@@ -117,7 +139,7 @@ def clean(grid: Grid) -> Grid:
     grid = [row for row in squared(grid) if not all(blank(c) for c in row)]
     if not grid:
         return []
-    grid = glue(drop_repeats(grid))
+    grid = glue_superscripts(glue(drop_repeats(grid)))
     grid = merge_headers(grid, header_rows(grid))
     grid = drop_subsets(drop_repeats(grid))
     cols = columns(grid)
@@ -138,15 +160,16 @@ def gfm(grid: Grid) -> str:
 
 
 def mmd(grid: Grid, heads: int = 1) -> str:
-    """MultiMarkdown: in header rows, a text that goes on to the right is one cell over several columns."""
+    """MultiMarkdown: in header rows, and rows of one text, a text that goes on to the right is one cell over several columns."""
     grid = squared(grid)
     if not grid:
         return ""
     lines = []
     for r, row in enumerate(grid):
         out = "|"
+        heading = r < heads or len({x for x in row if x.strip()}) == 1  # one text over the row heads what is below it
         for c, cell in enumerate(row):
-            again = r < heads and c and cell.strip() and cell == row[c - 1]
+            again = heading and c and cell.strip() and cell == row[c - 1]
             out += "|" if again else f" {escaped(cell)} |"
         lines.append(out)
     heads = max(1, min(heads, len(lines)))

@@ -245,7 +245,7 @@ class Walker(HTMLParser):
 
 
 def expand(rows: list) -> gk.Grid:
-    """Cells with spans to a full grid: a spanning cell's text stands in every place that it covers."""
+    """Cells with spans to a full grid: a spanning cell's text stands in every place that it covers, but a figure only in the last one across, where the other rows have theirs."""
     grid: list[dict[int, str]] = [{} for _ in rows]
     for r, row in enumerate(rows):
         c = 0
@@ -253,9 +253,10 @@ def expand(rows: list) -> gk.Grid:
             while c in grid[r]:
                 c += 1
             text = re.sub(r"(?:\s*<br>\s*)+$|^(?:\s*<br>\s*)+", "", " ".join(parts)).strip()
+            figure = across > 1 and c > 0 and gk.is_figure(text)
             for i in range(r, min(r + down, len(rows))):
                 for j in range(c, c + across):
-                    grid[i].setdefault(j, text)
+                    grid[i].setdefault(j, text if not figure or j == c + across - 1 else "")
             c += across
     width = max((max(g) + 1 for g in grid if g), default=0)
     return [[g.get(c, "") for c in range(width)] for g in grid]

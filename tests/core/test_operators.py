@@ -38,6 +38,13 @@ def test_spans_are_expanded_and_financial_tables_cleaned():
     assert kind == "table" and text.split("\n") == ["| Item | 2024 |", "|---|---|", "| Cash | $(1234) |", "| Rate | 5% |"]
 
 
+def test_spanning_figures_superscripts_and_emphasised_signs():
+    html = "<table><tr><td></td><td colspan=2>2024</td><td colspan=2>2023</td></tr><tr><td>Sales</td><td><b>$</b></td><td><b>10</b></td><td>$</td><td>9</td></tr><tr><td>Cost</td><td colspan=2>(4)</td><td colspan=2>(3)</td></tr></table>"
+    assert hb.walk(html)[0][2].split("\n") == ["|  | 2024 | 2023 |", "|---|---|---|", "| Sales | $**10** | $9 |", "| Cost | (4) | (3) |"]
+    assert gk.clean([["Area", "m", ""], ["a", "1,000", "<sup>2</sup>"], ["b", "5", ""]]) == [["Area", "m"], ["a", "1000<sup>2</sup>"], ["b", "5"]]
+    assert gk.mmd([["x", "a", "b"], ["1", "2", "3"], ["", "in 2023", "in 2023"]]).split("\n")[-1] == "|  | in 2023 ||"
+
+
 digits = st.integers(0, 99_999).map(lambda n: f"{n:,}")
 cell = st.one_of(st.just(""), st.sampled_from(["$", "%", ")", "—", "Total", "Net income"]), digits)
 
@@ -57,7 +64,7 @@ def test_golden_tables_keep_their_figures():
     inputs = sorted(CASES.glob("*/input_table.html"))
     numbers = lambda s: sorted(re.findall(r"\d+(?:\.\d+)?", re.sub(r"<[^>]*>|&nbsp;", "", s).replace(",", "")))
     same = sum(numbers("\n".join(b[2] for b in hb.walk(f.read_text(), to_mmd=True))) == numbers((f.parent / "expected.md").read_text()) for f in inputs)
-    assert same >= 0.7 * len(inputs)
+    assert same >= 0.9 * len(inputs)
 
 
 def test_mmd_spans():
