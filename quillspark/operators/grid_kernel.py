@@ -15,6 +15,7 @@ _SIGN = re.compile(r"(?:[$£€¥￥]|C\$|A\$|R\$)")
 _NUMBER = re.compile(r"\(?-?[\d.,]*\d[\d.,]*\)?%?")
 _OPEN_NUMBER = re.compile(r"[$£€¥]?\(?-?[\d.,]*\d[\d.,]*\)?")
 _SUFFIX = re.compile(r"%|\)|\)%|\)bp|x|\(\d{1,2}\)|<sup>.*</sup>")
+_NOTE = re.compile(r"\(\d{1,2}\)")
 _SUP = re.compile(r"\s*(?:<sup\b[^>]*>.*?</sup>\s*)+")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _CONTENT = re.compile(r"[^\W_]|[$£€¥☐☒]")
@@ -71,6 +72,9 @@ def drop_repeats(grid: Grid) -> Grid:
 
 def glue(grid: Grid) -> Grid:
     """Currency signs go to the number on their right, closing signs and footnotes to that on their left, row by row."""
+    heads, cols = header_rows(grid), columns(grid)
+    # A small number in parentheses is a footnote only in a column of its own, without a heading of its own.
+    notes = {c for c in range(1, len(cols)) if all(blank(x) or _SUFFIX.fullmatch(plain(x)) for x in cols[c][heads:]) and all(not x.strip() or x == y for x, y in zip(cols[c][:heads], cols[c - 1][:heads]))}
     out = []
     for row in grid:
         row = list(row)
@@ -80,7 +84,7 @@ def glue(grid: Grid) -> Grid:
                 if at is not None and (_NUMBER.fullmatch(plain(row[at])) or plain(row[at]) in ("—", "-", "–")):
                     row[at], row[c] = plain(row[c]) + row[at].strip(), ""
         for c in range(1, len(row)):
-            if _SUFFIX.fullmatch(plain(row[c])):
+            if _SUFFIX.fullmatch(plain(row[c])) and (c in notes or not _NOTE.fullmatch(plain(row[c]))):
                 at = next((k for k in range(c - 1, 0, -1) if row[k].strip()), None)
                 if at is not None and _OPEN_NUMBER.fullmatch(plain(row[at])) and not _YEAR.fullmatch(plain(row[at])):
                     row[at], row[c] = row[at].strip() + plain(row[c]), ""
