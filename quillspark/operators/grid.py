@@ -1,8 +1,8 @@
 """Table grids as rows of cells, and the column rules that clean them.
 
-A grid is (table_id, r, c, text), one row a cell. A rule about columns first sums each column up (a signature,
-counts), then looks at neighbours with a window over the columns of one table, and keeps or drops whole columns.
-Every rule needs one exchange, by table, which they all share.
+A grid is (table_id, r, c, text), one row a cell. A rule about columns gathers a table's columns as arrays, looks at
+neighbours there, and keeps or drops whole columns; one about the cells of a row or column is a window.
+Either needs one exchange, by table, which rules that follow one another share.
 """
 
 from __future__ import annotations
@@ -14,45 +14,59 @@ from quillspark.functions import text as t
 KEY = "table_id"
 
 
-def column_texts(cells: DataFrame, text: Column | None = None) -> DataFrame:
-    """(table_id, c, sig): each column's cells in row order."""
-    x = F.col("text") if text is None else text
-    sig = F.array_sort(F.collect_list(F.struct("r", F.coalesce(x, F.lit("")).alias("x"))))
-    return cells.groupBy(KEY, "c").agg(F.transform(sig, lambda s: s["x"]).alias("sig"))
+def gathered(cells: DataFrame, sig: Column | None = None, flag: Column | None = None) -> DataFrame:
+    """(table_id, cols): a row a table, its columns in order, each (c, own), the cells in row order as (c, r, sig, flag, text): the one exchange of a rule.
 
+    sig is what cells are compared by, flag what is asked of them.
+    """
+    sig, flag = F.coalesce(F.col("text") if sig is None else sig, F.lit("")), F.coalesce(F.lit(False) if flag is None else flag, F.lit(False))
+    every = F.array_sort(F.collect_list(F.struct("c", "r", sig.alias("sig"), flag.alias("flag"), F.coalesce("text", F.lit("")).alias("text"))))
+    own = lambda c: F.filter("cells", lambda x: x["c"] == c)
+    d = cells.groupBy(KEY).agg(every.alias("cells"))
+    return d.select(KEY, F.transform(F.array_distinct(F.transform("cells", lambda x: x["c"])), lambda c: F.struct(c.alias("c"), own(c).alias("own"))).alias("cols"))
 
-def keep_columns(cells: DataFrame, kept: DataFrame) -> DataFrame:
-    return cells.join(kept.select(KEY, "c"), [KEY, "c"], "left_semi")
 
+def kept_where(tables: DataFrame, rule) -> DataFrame:
+    """The cells of the columns for which a rule of (column, place among cols) holds."""
+    kept = F.filter("cols", lambda x, i: rule(x, i))
+    return tables.select(KEY, F.explode(F.flatten(F.transform(kept, lambda x: x["own"]))).alias("x")).select(KEY, "x.r", "x.c", "x.text")
 
-def _neighbours(columns: DataFrame) -> DataFrame:
-    w = W.partitionBy(KEY).orderBy("c")
-    return columns.withColumns({"left": F.lag("sig").over(w), "right": F.lead("sig").over(w)})
+
+def _sig(column: Column) -> Column:
+    return F.transform(column["own"], lambda x: x["sig"])
+
+
+def _flags(column: Column) -> Column:
+    return F.size(F.filter(column["own"], lambda x: x["flag"]))
+
+
+def _beside(i: Column, by: int) -> Column:
+    """The column so many places from that at i; null beyond the first and last."""
+    return F.when(i + by >= 0, F.get("cols", i + by))
+
+
+def keep_columns(cells: DataFrame, kept: DataFrame) -> DataFrame:
+    return cells.join(kept.select(KEY, "c"), [KEY, "c"], "left_semi")
 
 
 def drop_equal_neighbours(cells: DataFrame) -> DataFrame:
     """A column equal to the one on its left goes."""
-    cols = _neighbours(column_texts(cells))
-    return keep_columns(cells, cols.where(F.col("left").isNull() | (F.col("left") != F.col("sig"))))
+    return kept_where(gathered(cells), lambda x, i: ~F.coalesce(_sig(_beside(i, -1)) == _sig(x), F.lit(False)))
 
 
 def drop_exact_duplicates(cells: DataFrame) -> DataFrame:
     """Of columns that agree in every cell, the first stays."""
-    cols = column_texts(cells)
-    first = cols.groupBy(KEY, "sig").agg(F.min("c").alias("c"))
-    return keep_columns(cells, first)
+    return kept_where(gathered(cells), lambda x, i: ~F.exists(F.slice("cols", 1, i), lambda y: _sig(y) == _sig(x)))
 
 
 def _drop_marked_twins(cells: DataFrame, strip: str, mark: str) -> DataFrame:
     """Of neighbours that differ only in a mark, the one with more of it stays."""
-    bare = column_texts(cells, F.regexp_replace("text", strip, ""))
-    marks = cells.groupBy(KEY, "c").agg(F.count_if(F.contains("text", F.lit(mark))).alias("marks"))
-    w = W.partitionBy(KEY).orderBy("c")
-    d = bare.join(marks, [KEY, "c"])
-    d = d.withColumns({"prev": F.lag("sig").over(w), "prev_marks": F.lag("marks").over(w), "next": F.lead("sig").over(w), "next_marks": F.lead("marks").over(w)})
-    loses_left = (F.col("prev") == F.col("sig")) & (F.col("prev_marks") >= F.col("marks"))
-    loses_right = (F.col("next") == F.col("sig")) & (F.col("next_marks") > F.col("marks"))
-    return keep_columns(cells, d.where(~F.coalesce(loses_left | loses_right, F.lit(False))))
+    tables = gathered(cells, F.regexp_replace("text", strip, ""), F.contains("text", F.lit(mark)))
+
+    def loses(x: Column, other: Column, at_least: int) -> Column:
+        return F.coalesce((_sig(other) == _sig(x)) & (_flags(other) >= _flags(x) + at_least), F.lit(False))
+
+    return kept_where(tables, lambda x, i: ~(loses(x, _beside(i, -1), 0) | loses(x, _beside(i, 1), 1)))
 
 
 def drop_percentless_twins(cells: DataFrame) -> DataFrame:
@@ -66,29 +80,38 @@ def drop_dollarless_twins(cells: DataFrame) -> DataFrame:
 def drop_subset_columns(cells: DataFrame) -> DataFrame:
     """A column whose cells are blank or those of a neighbour with more cells goes."""
     norm = F.when(t.is_blank(F.col("text")), F.lit("")).otherwise(t.without_years(F.col("text")))
-    d = _neighbours(column_texts(cells, norm))
     filled = lambda a: F.size(F.filter(a, lambda x: x != ""))
-    within = lambda b: F.coalesce((filled(F.col("sig")) < filled(b)) & F.forall(F.arrays_zip(F.col("sig").alias("a"), b.alias("b")), lambda p: (p["a"] == "") | (p["a"] == p["b"])), F.lit(False))
-    return keep_columns(cells, d.where(~within(F.col("left")) & ~within(F.col("right"))))
+
+    def within(x: Column, other: Column) -> Column:
+        same = F.zip_with(_sig(x), _sig(other), lambda a, b: (a == "") | F.coalesce(a == b, F.lit(False)))
+        return F.coalesce((filled(_sig(x)) < filled(_sig(other))) & F.forall(same, lambda ok: ok), F.lit(False))
+
+    return kept_where(gathered(cells, norm), lambda x, i: ~within(x, _beside(i, -1)) & ~within(x, _beside(i, 1)))
+
+
+def _with_flag(cells: DataFrame, flag: Column, wanted: bool = True) -> DataFrame:
+    """Columns with, or without, a cell for which the flag holds: a window, which keeps all columns of the table and shares its exchange."""
+    some = F.coalesce(F.max(F.coalesce(flag, F.lit(False))).over(W.partitionBy(KEY, "c")), F.lit(False))
+    return cells.repartition(F.col(KEY)).withColumn("__some", some).where(F.col("__some") == wanted).drop("__some")
 
 
 def drop_columns_without_content(cells: DataFrame) -> DataFrame:
     """Only columns with a letter, digit, currency or check mark stay."""
-    return keep_columns(cells, cells.groupBy(KEY, "c").agg(F.bool_or(F.col("text").rlike(r"[\p{L}\p{N}$£€¥☐☒]")).alias("ok")).where("ok"))
+    return _with_flag(cells, F.col("text").rlike(r"[\p{L}\p{N}$£€¥☐☒]"))
 
 
 def drop_lone_parenthesis_columns(cells: DataFrame) -> DataFrame:
-    return keep_columns(cells, cells.groupBy(KEY, "c").agg(F.bool_or(F.trim("text") == ")").alias("lone")).where("not coalesce(lone, false)"))
+    return _with_flag(cells, F.trim("text") == ")", False)
 
 
 def drop_blank_columns(cells: DataFrame, header_rows: int = 1) -> DataFrame:
     """Columns with nothing below the header go."""
-    return keep_columns(cells, cells.groupBy(KEY, "c").agg(F.bool_or((F.col("r") >= header_rows) & ~t.is_blank(F.col("text"))).alias("ok")).where("ok"))
+    return _with_flag(cells, (F.col("r") >= header_rows) & ~t.is_blank(F.col("text")))
 
 
 def drop_blank_rows(cells: DataFrame) -> DataFrame:
-    rows = cells.groupBy(KEY, "r").agg(F.bool_or(~t.is_truly_empty(F.col("text"))).alias("ok")).where("ok")
-    return cells.join(rows.select(KEY, "r"), [KEY, "r"], "left_semi")
+    some = F.max(~t.is_truly_empty(F.col("text"))).over(W.partitionBy(KEY, "r"))
+    return cells.withColumn("__some", some).where("__some").drop("__some")
 
 
 def blanks_to_dashes(cells: DataFrame) -> DataFrame:
@@ -97,11 +120,16 @@ def blanks_to_dashes(cells: DataFrame) -> DataFrame:
 
 def overlap_of_neighbours(cells: DataFrame) -> DataFrame:
     """(table_id, c, overlap, fill): the share of a column's distinct cells that its left neighbour has, and of its rows that are filled."""
-    d = _neighbours(column_texts(cells, F.when(t.is_blank(F.col("text")), F.lit("")).otherwise(F.col("text"))))
+    tables = gathered(cells, F.when(t.is_blank(F.col("text")), F.lit("")).otherwise(F.col("text")))
     distinct = lambda a: F.array_remove(F.array_distinct(a), "")
-    own = F.size(distinct(F.col("sig")))
-    both = F.size(F.array_intersect(distinct(F.col("sig")), distinct(F.coalesce("left", F.array().cast("array<string>")))))
-    return d.select(KEY, "c", F.when(own > 0, both.cast("double") / own).otherwise(0.0).alias("overlap"), (F.size(F.filter("sig", lambda x: x != "")).cast("double") / F.size("sig")).alias("fill"))
+
+    def about(x: Column, i: Column) -> Column:
+        own, left = distinct(_sig(x)), F.coalesce(distinct(_sig(_beside(i, -1))), F.array().cast("array<string>"))
+        overlap = F.when(F.size(own) > 0, F.size(F.array_intersect(own, left)).cast("double") / F.size(own)).otherwise(0.0)
+        fill = F.size(F.filter(_sig(x), lambda y: y != "")).cast("double") / F.size(x["own"])
+        return F.struct(x["c"].alias("c"), overlap.alias("overlap"), fill.alias("fill"))
+
+    return tables.select(KEY, F.explode(F.transform("cols", about)).alias("x")).select(KEY, "x.*")
 
 
 def first_data_row(cells: DataFrame) -> DataFrame:
@@ -114,7 +142,7 @@ def merge_currency_prefixes(cells: DataFrame) -> DataFrame:
     """A cell that is but a currency sign joins the number on its right; a column left without any text goes."""
     w = W.partitionBy(KEY, "r").orderBy("c")
     sign, number = F.trim("text").rlike(r"^(\$|£|€|¥|￥|C\$|A\$|R\$)$"), F.trim("text").rlike(r"^\(?-?[\d,.]+\)?%?$")
-    d = cells.withColumns({"sign": sign, "prev": F.lag("text").over(w), "prev_sign": F.lag(sign).over(w), "next_number": F.lead(number).over(w), "number": number})
+    d = cells.repartition(F.col(KEY)).withColumns({"sign": sign, "prev": F.lag("text").over(w), "prev_sign": F.lag(sign).over(w), "next_number": F.lead(number).over(w), "number": number})
     text = F.when(F.col("number") & F.coalesce("prev_sign", F.lit(False)), F.concat(F.trim("prev"), F.trim("text"))).when(F.col("sign") & F.coalesce("next_number", F.lit(False)), F.lit("")).otherwise(F.col("text"))
     merged = d.select(KEY, "r", "c", text.alias("text"))
     return drop_columns_without_content(merged)
@@ -124,7 +152,7 @@ def merge_suffixes(cells: DataFrame) -> DataFrame:
     """A cell that is but ), % or )% joins the number on its left."""
     w = W.partitionBy(KEY, "r").orderBy("c")
     suffix, number = F.trim("text").rlike(r"^(%|\)|\)%|\)bp)$"), F.trim("text").rlike(r"^\$?\(?-?[\d,.]+$") & ~F.trim("text").rlike(r"^\d{4}$")
-    d = cells.withColumns({"suffix": suffix, "number": number, "next": F.lead("text").over(w), "next_suffix": F.lead(suffix).over(w), "prev_number": F.lag(number).over(w)})
+    d = cells.repartition(F.col(KEY)).withColumns({"suffix": suffix, "number": number, "next": F.lead("text").over(w), "next_suffix": F.lead(suffix).over(w), "prev_number": F.lag(number).over(w)})
     text = F.when(F.col("number") & F.coalesce("next_suffix", F.lit(False)), F.concat(F.trim("text"), F.trim("next"))).when(F.col("suffix") & F.coalesce("prev_number", F.lit(False)), F.lit("")).otherwise(F.col("text"))
     return drop_columns_without_content(d.select(KEY, "r", "c", text.alias("text")))
 
