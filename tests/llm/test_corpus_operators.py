@@ -228,6 +228,49 @@ def test_links_in_a_crowd_are_those_of_all_pairs(docs, edits, least):
     assert all(got[i] // 100 == i // 100 for i in got)
 
 
+def test_no_link_at_the_threshold_is_lost(docs):
+    """Pairs as far apart as links may be, by words replaced, added and left out: sketches alone leave some of them apart."""
+    rows, r = [], random.Random(7)
+    for g in range(1, 301):
+        n = (5, 6, 10, 14, 60, 60, 60, 200)[g % 8]
+        a, b = (t.split() for t in scattered(n, int(0.2 * n + 1e-9) if g % 3 else 0, 7000 + g))
+        if g % 3 == 0:  # one text is the other without a fifth of its words
+            b = [w for i, w in enumerate(b) if i not in r.sample(range(n), int(0.2 * n + 1e-9))] if n < 60 else [b[i] for i in sorted(r.sample(range(n), n - n // 5))]
+        rows += [(100 * g, " ".join(a)), (100 * g + 1, " ".join(b))]
+    hashed = near_dedup.Hasher()
+    words = {i: (hashed(near_dedup.words_of(t)) >> np.uint64(1)).astype(np.int64) for i, t in rows}
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.digest(docs(rows)).collect()}
+    linked = [i for i in words if i % 100 == 0 and near_dedup.alike(words[i], words[i + 1])]
+    assert len(linked) > 250 and all(got[i + 1] == i for i in linked)
+
+
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.8, 0.9])
+def test_alike_texts_share_the_kmers_that_they_need(least):
+    r = random.Random(int(least * 100))
+    for _ in range(2000):
+        n = r.randint(2, 40)
+        a = [r.randint(0, 3 * n) for _ in range(n)]
+        b = list(a)
+        for _ in range(r.randint(0, n // 3)):
+            i, how = r.randrange(len(b) + 1), r.randint(0, 2)
+            b[i : i + (how < 2)] = [r.randint(0, 3 * n)] * (how > 0)
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        if a == b or not b or not near_dedup.alike(x, y, least):
+            continue
+        shared = {q: len(np.intersect1d(*(near_dedup.labelled_kmers(w.astype(np.uint64), q) for w in (x, y)))) for q in near_dedup.LENGTHS}
+        both = [near_dedup.shared_at_least(len(w), least) for w in (x, y)]
+        assert any(all(q in need and shared[q] >= need[q] for need in both) for q in near_dedup.LENGTHS)
+
+
+def test_a_repeated_kmer_changes_no_other(docs):
+    a = scattered(100, 0, 11)[0].split()
+    b = a[:90] + a[:10]  # some k-mers twice
+    x, y = (near_dedup.labelled_kmers(near_dedup.Hasher()(w)) for w in (a, b))
+    assert len(np.intersect1d(x, y)) == 88
+    met = near_dedup.sketch(near_dedup.Hasher()(a)) == near_dedup.sketch(near_dedup.Hasher()(b))
+    assert met.sum() > 10
+
+
 def test_order_matters(docs):
     words = prose(3, 400).split()
     halves = " ".join(words[200:] + words[:200])
