@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -93,3 +94,19 @@ def test_run_is_the_brute_force_pipeline(spark, docs, tmp_path):
 def test_pipeline_of_nothing(spark, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_at_the_threshold_do_not_stay(spark):
+    """A text with repeated phrases and its copy without them, and pairs with a fifth of their words replaced: one of each stays."""
+    rows = []
+    for g in range(100):
+        r = random.Random(300 + g)
+        a = [f"w{r.getrandbits(40)}" for _ in range(60)]
+        b = list(a)
+        for i in r.sample(range(60), 12):
+            b[i] = f"x{r.getrandbits(40)}"
+        if g % 10 == 0:
+            b = a[:54] + a[:6]
+        rows += [(2 * g, " ".join(a), None, None, 1), (2 * g + 1, " ".join(b), None, None, 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, d, "").collect()) == list(range(0, 200, 2))
