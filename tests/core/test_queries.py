@@ -59,6 +59,7 @@ ONE_EXCHANGE = [
     "fixed_width_align",
     "blank_subset_headers",
     "render_two_row_header",
+    "blank_repeats",
 ]
 
 
