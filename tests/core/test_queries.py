@@ -60,6 +60,7 @@ ONE_EXCHANGE = [
     "blank_subset_headers",
     "render_two_row_header",
     "blank_repeats",
+    "tag_only_cells",
 ]
 
 
