@@ -61,6 +61,7 @@ ONE_EXCHANGE = [
     "render_two_row_header",
     "blank_repeats",
     "tag_only_cells",
+    "blank_to_dash",
 ]
 
 
