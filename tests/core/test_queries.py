@@ -62,6 +62,7 @@ ONE_EXCHANGE = [
     "blank_repeats",
     "tag_only_cells",
     "blank_to_dash",
+    "covered_columns",
 ]
 
 
