@@ -63,6 +63,7 @@ ONE_EXCHANGE = [
     "tag_only_cells",
     "blank_to_dash",
     "covered_columns",
+    "row_blank",
 ]
 
 
