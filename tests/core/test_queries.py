@@ -64,6 +64,7 @@ ONE_EXCHANGE = [
     "blank_to_dash",
     "covered_columns",
     "row_blank",
+    "span_rows",
 ]
 
 
