@@ -331,3 +331,30 @@ def test_top_k_of_little(spark):
     assert topk.digest(empty).count() == 0
     one = spark.createDataFrame([(100, [1.0]), (1, [2.0]), (1, [2.0]), (100, [1.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.digest(one).orderBy("rank").collect()] == [(100, 1, 1, 1024 * 2048), (100, 2, 1, 1024 * 2048)]
+
+
+def test_many_texts_around_a_frequent_pair_make_few_candidates(docs):
+    """Texts that are two words over and over beside words of their own: alike ones are candidates, the crowd is not paired."""
+    r, rows = random.Random(5), []
+    for g in range(60):
+        own = [f"o{r.getrandbits(48)}" for _ in range(60)]
+        rows.append((10 * g, " ".join(own[:30] + ["and", "so"] * 60 + own[30:])))
+    other = rows[7][1].split()
+    for i in r.sample(range(len(other)), 36):
+        other[i] = f"y{r.getrandbits(48)}"
+    rows.append((71, " ".join(other)))
+    d = docs(rows)
+    sigs = near_dedup.signatures(d, "doc_id", "text")
+    nodes = near_dedup.cut(sigs.select(F.col("id").alias("node"), "id", "text_hash", "digest", "n_words", "sketches"))
+    none = near_dedup.settle(nodes.where("false").select("node", F.col("node").alias("root")))
+    pairs = [tuple(x) for x in near_dedup.apart(d, nodes, none, "doc_id", "text").collect()]
+    assert (71, 70) in pairs and len(pairs) < 30
+    assert [tuple(x) for x in near_dedup.missed(d, nodes, none, "doc_id", "text").collect()] == [(71, 70)]
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    r = random.Random(3)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)], "node bigint, pivot bigint")
+    few = sorted(map(tuple, near_dedup.components(edges).collect()))
+    monkeypatch.setattr(near_dedup, "ONE_TASK_ROWS", 0)
+    assert sorted(map(tuple, near_dedup.components(edges).collect())) == few
