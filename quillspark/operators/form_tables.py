@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.text import dollarize, format_bool, format_dollars, format_percent, join_split_numbers
-from quillspark.operators.xml_forms import footnotes
+from quillspark.operators.xml_forms import footnotes, once
 
 MISSING = "—"
 
@@ -136,20 +136,26 @@ def footnote_order(xml: Column) -> Column:
 def field_of(record: Column, field: Field, table: FormTable, order: Column) -> Column:
     """A column's value in a record."""
     inner = [element(record, p) for p in field.paths]
-    texts = [plain_text(x) for x in inner]
     if field.show == "voluntary":
+        texts = [plain_text(x) for x in inner]
         return F.when((texts[0] == "V") | (texts[1] != ""), "V").otherwise("")
     if field.show.startswith("if "):
-        return F.when(F.upper(texts[1]) == field.show[3:], _noted(texts[0], inner[0], table, order)).otherwise("")
+        return F.when(F.upper(plain_text(inner[1])) == field.show[3:], once(inner[0], lambda x: once(plain_text(x), lambda v: _noted(v, x, table, order)))).otherwise("")
     if field.show == "all":
         every = F.regexp_extract_all(record, F.lit(rf"(?is){_open(field.paths[0])}(?<!/)>(.*?)</"), F.lit(1))
         return F.array_join(F.transform(every, plain_text), "; ")
     if field.show == "lines":
         parts = F.regexp_extract_all(inner[0], F.lit(r"(?s)>([^<>]+)<"), F.lit(1))
         return _or(F.array_join(F.filter(F.transform(parts, plain_text), lambda x: x != ""), "<br>"), table.missing)
-    value, source = texts[0], inner[0]
-    for x, i in zip(texts[1:], inner[1:]):
-        value, source = F.when(value != "", value).otherwise(x), F.when(value != "", source).otherwise(i)
+    if len(inner) == 1:
+        return once(inner[0], lambda x: once(plain_text(x), lambda v: _shown(v, x, field, table, order)))
+    each = F.transform(F.array(*inner), lambda x: F.struct(plain_text(x).alias("value"), x.alias("source")))
+    first = once(each, lambda e: F.coalesce(F.get(F.filter(e, lambda x: x["value"] != ""), F.lit(0)), F.get(e, F.lit(len(inner) - 1))))
+    return once(first, lambda x: _shown(x["value"], x["source"], field, table, order))
+
+
+def _shown(value: Column, source: Column, field: Field, table: FormTable, order: Column) -> Column:
+    """A value, read from source, as its column shows it."""
     given = F.nullif(value, F.lit(""))
     if field.show == "count":
         digits = F.replace(value, F.lit(","), F.lit(""))
@@ -168,20 +174,19 @@ def field_of(record: Column, field: Field, table: FormTable, order: Column) -> C
 
 
 def _or(value: Column, missing: str) -> Column:
-    return F.when(value == "", F.lit(missing)).otherwise(value)
+    return once(value, lambda v: F.when(v == "", F.lit(missing)).otherwise(v))
 
 
 def _noted(value: Column, inner: Column, table: FormTable, order: Column) -> Column:
     if not table.notes:
         return value
     ids = F.regexp_extract_all(inner, F.lit(r"(?is)<(?:\w+:)?footnoteId\s+id=\"([^\"]+)\""), F.lit(1))
-    return footnotes(join_split_numbers(value), ids, order)
+    return once(once(value, join_split_numbers), lambda v: footnotes(v, ids, order))
 
 
 def rows_of(xml: Column, table: FormTable) -> Column:
     """array of the records' values, each an array of strings in the table's order. Records without a needed value are none."""
-    order = footnote_order(xml)
-    rows = F.transform(records_of(xml, table.record), lambda r: F.array(*[field_of(r, f, table, order) for f in table.fields]))
+    rows = once(footnote_order(xml), lambda order: F.transform(records_of(xml, table.record), lambda r: F.array(*[field_of(r, f, table, order) for f in table.fields])))
     needed = [F.lit(i) for i, f in enumerate(table.fields) if f.show == "needed"]
     return F.filter(rows, lambda row: F.forall(F.array(*needed), lambda i: F.get(row, i) != MISSING)) if needed else rows
 
@@ -238,7 +243,7 @@ def root_of(xml: Column) -> Column:
 def footnote_list(xml: Column) -> Column:
     """The footnotes with their numbers, a line each; null without one."""
     notes = F.transform(records_of(xml, "footnote"), lambda x, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), plain_text(x)))
-    return F.when(F.size(notes) > 0, F.concat(F.lit("### Footnotes:\n\n"), F.array_join(notes, "\n\n")))
+    return once(notes, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("### Footnotes:\n\n"), F.array_join(x, "\n\n"))))
 
 
 def form_tables(xml: Column, root: Column, form: Column) -> Column:

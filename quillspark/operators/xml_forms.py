@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -219,7 +219,12 @@ def xml_leaves(df: DataFrame, key: str, xml: str) -> DataFrame:
     return rows.mapInPandas(run, f"key {kind}, path string, ordinal int, tag string, value string")
 
 
+def once(value: Column, shown: Callable[[Column], Column]) -> Column:
+    """What is made of a value, which is computed once, however often it is used; within a lambda Spark would compute it for every use."""
+    return F.get(F.transform(F.array(value), shown), F.lit(0))
+
+
 def footnotes(value: Column, ids: Column, order: Column) -> Column:
     """A value with the ordinals of its footnotes: v<sup>(1)(3)</sup>."""
     marks = F.array_join(F.transform(F.filter(ids, lambda i: F.array_position(order, i) > 0), lambda i: F.concat(F.lit("("), F.array_position(order, i).cast("string"), F.lit(")"))), "")
-    return F.when(marks != "", F.concat(value, F.lit("<sup>"), marks, F.lit("</sup>"))).otherwise(value)
+    return once(marks, lambda m: F.when(m != "", F.concat(value, F.lit("<sup>"), m, F.lit("</sup>"))).otherwise(value))

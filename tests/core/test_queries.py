@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.plans import registry
 
@@ -73,3 +74,13 @@ ONE_EXCHANGE = [
 def test_a_grid_is_dealt_once(name, spark):
     plan = registry.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "BroadcastExchange" not in plan
+
+
+def test_a_field_is_read_once(spark):
+    """Of the eleven columns of ownership statements every path of names is looked up once, not once for every use of its value."""
+    from quillspark.operators import form_tables as ft
+
+    d = spark.range(1).select(F.col("id").cast("string").alias("xml")).select(ft.markdown_of(F.col("xml"), ft.BY_NAME["ownership_changes"]).alias("x"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    names = sum(len(p.split("/")) for f in ft.BY_NAME["ownership_changes"].fields for p in f.paths)
+    assert plan.count("regexp_extract(") == names
