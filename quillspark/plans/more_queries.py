@@ -4,7 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from quillspark.functions import text as t
 from quillspark.operators import grid
-from quillspark.plans.grid_queries import GRID_SQL, SUMMARY_SQL, _grid, _summary
+from quillspark.plans.grid_queries import GRID_SQL, SUMMARY_SQL, _grid, _summary, _summary_of, _tables, _with_cells
 from quillspark.plans.registry import query, table
 
 
@@ -98,8 +98,8 @@ HEADS_SQL = """h AS (SELECT table_id, c, max(CASE WHEN r = 0 THEN text END) AS h
     k AS (SELECT cells.* FROM cells JOIN n USING (table_id, c) WHERE NOT coalesce(pc IS NOT NULL AND nc IS NOT NULL AND filled = 0 AND head <> '' AND ((pf > 0 AND contains(ph, head)) OR (nf > 0 AND contains(nh, head))), false)) {SUMMARY_SQL}""",
 )
 def blank_subset_headers(spark, sf_dir):
-    heads = F.when(F.col("r") == 0, F.when(F.col("c") == 4, "Rate of change").when(F.col("c") == 6, "change").otherwise(F.col("text"))).otherwise(F.col("text"))
-    return _summary(grid.drop_blank_subset_headers(_grid(spark, sf_dir).withColumn("text", heads)))
+    heads = _with_cells(lambda r, v, c: F.when((r == 0) & (c == 4), "Rate of change").when((r == 0) & (c == 6), "change").otherwise(v))
+    return _summary_of(_tables(spark, sf_dir), grid.drop_blank_subset_headers(heads))
 
 
 @query(
@@ -109,8 +109,8 @@ def blank_subset_headers(spark, sf_dir):
     k AS (SELECT cells.* FROM cells JOIN n USING (table_id, c) WHERE NOT (n.n > 1 AND head <> '' AND filled = 0 AND (most > 0 OR nth > 1))) {SUMMARY_SQL}""",
 )
 def blank_repeats(spark, sf_dir):
-    heads = F.when((F.col("r") == 0) & (F.col("c") == 6), "Rate").when((F.col("r") == 0) & (F.col("c") > 6), "Other").otherwise(F.col("text"))
-    return _summary(grid.drop_blank_repeats(_grid(spark, sf_dir).withColumn("text", heads)))
+    heads = _with_cells(lambda r, v, c: F.when((r == 0) & (c == 6), "Rate").when((r == 0) & (c > 6), "Other").otherwise(v))
+    return _summary_of(_tables(spark, sf_dir), grid.drop_blank_repeats(heads))
 
 
 @query("superscript_columns", f"WITH {GRID_SQL}, k AS (SELECT table_id, r, c, text || CASE WHEN c = 5 AND r % 2 = 1 THEN '<sup>' || r || '</sup>' ELSE '' END AS text FROM cells WHERE c <> 6 OR table_id NOT IN (SELECT table_id FROM li WHERE r % 2 = 1)) {SUMMARY_SQL}")
@@ -121,13 +121,13 @@ def superscript_columns(spark, sf_dir):
 
 @query("tag_only_cells", f"WITH {GRID_SQL}, k AS (SELECT cells.* FROM cells WHERE c NOT IN (6, 8) OR (c = 8 AND table_id IN (SELECT table_id FROM li WHERE r = 3)) OR false) {SUMMARY_SQL.replace('FROM k', 'FROM (SELECT * FROM k WHERE c <> 7 OR table_id IN (SELECT table_id FROM li WHERE r % 2 = 0))')}")
 def tag_only_cells(spark, sf_dir):
-    return _summary(grid.drop_tag_only(_grid(spark, sf_dir), 1))
+    return _summary_of(_tables(spark, sf_dir), grid.drop_tag_only(F.col("rows"), 1))
 
 
 @query("covered_columns", f"WITH {GRID_SQL}, k AS (SELECT table_id, r, c, text FROM cells WHERE c IN (0, 2, 4) OR (c = 7 AND table_id IN (SELECT table_id FROM li WHERE r % 2 = 0)) OR (c = 8 AND table_id IN (SELECT table_id FROM li WHERE r = 3)) OR (c = 1)) {SUMMARY_SQL}")
 def covered_columns(spark, sf_dir):
-    span = F.when(F.col("c").isin(2, 3), 1).when(F.col("c").isin(4, 5), 2).otherwise(F.col("c") + 10)
-    return _summary(grid.drop_covered(_grid(spark, sf_dir).withColumn("span", span)).drop("span"))
+    span = lambda c: F.when(c.isin(2, 3), 1).when(c.isin(4, 5), 2).otherwise(c + 10)
+    return _summary_of(_tables(spark, sf_dir), grid.drop_covered(_with_cells(lambda r, v, c: F.struct(v.alias("text"), span(c).alias("span")))))
 
 
 # -- matches and roll-ups ----------------------------------------------------------------------------------
