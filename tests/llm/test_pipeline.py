@@ -110,3 +110,20 @@ def test_near_duplicates_at_the_threshold_do_not_stay(spark):
         rows += [(2 * g, " ".join(a), None, None, 1), (2 * g + 1, " ".join(b), None, None, 1)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, d, "").collect()) == list(range(0, 200, 2))
+
+
+def test_kmers_that_get_one_number_are_still_two(spark):
+    """Two texts at the threshold that meet in no sketch and share just the k-mers that they must, two of which have the same number."""
+    r = random.Random(21)
+    word = lambda: f"w{r.getrandbits(40)}"
+    a = [word() for _ in range(60)]
+    a[3:6], a[33:36] = ("elwbmlm", "yegnusr", "rrhyzgi"), ("dwarqtz", "emwnluj", "rzkokab")
+    b = list(a)
+    for i in range(2, 60, 5):
+        b[i] = word()
+    x, y = (near_dedup.Hasher()(t) for t in (a, b))
+    h = near_dedup._mix(near_dedup.labelled_kmers(x) + np.uint64(3))[[3, 33]]
+    assert h[0] != h[1] and h[0] >> np.uint64(32) == h[1] >> np.uint64(32) and h[0] % np.uint64(8) == h[1] % np.uint64(8)
+    assert not (near_dedup.sketch(x) == near_dedup.sketch(y)).any()
+    d = spark.createDataFrame([(1, " ".join(a), None, None, 1), (2, " ".join(b), None, None, 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, "").collect()] == [1]
