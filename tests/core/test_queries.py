@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -76,6 +77,26 @@ def test_a_grid_is_dealt_once(name, spark):
     assert plan.count("Exchange ") == 1 and "BroadcastExchange" not in plan
 
 
+#: Queries that take a grid whole, in one row: its lines are gathered once, and nothing is made of its cells that a task would have to sort or spill.
+WHOLE_GRIDS = [
+    "fixed_width_align",
+]
+
+
+@pytest.mark.parametrize("name", WHOLE_GRIDS)
+def test_cells_of_a_grid_are_never_gathered_or_sorted(name, spark):
+    plan = registry.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"(?m)^[ :+\-*()0-9]*([A-Z]\w+)", plan)
+    assert nodes.count("ObjectHashAggregate") == 2 and nodes.count("Exchange") == 1 and not {"Sort", "Window", "SortAggregate"} & set(nodes)
+
+
+def test_more_lines_are_dealt_into_more_tasks(spark, monkeypatch):
+    from quillspark.plans import grid_queries
+
+    monkeypatch.setattr(grid_queries, "LINES", 500)
+    assert registry.queries()["fixed_width_align"](spark, str(DATA)).rdd.getNumPartitions() >= 10
+
+
 def test_a_field_is_read_once(spark):
     """Of the eleven columns of ownership statements every path of names is looked up once, not once for every use of its value."""
     from quillspark.operators import form_tables as ft
