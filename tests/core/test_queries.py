@@ -82,6 +82,7 @@ WHOLE_GRIDS = [
     "fixed_width_align",
     "blank_subset_headers",
     "render_two_row_header",
+    "blank_repeats",
 ]
 
 
