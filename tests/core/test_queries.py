@@ -83,6 +83,7 @@ WHOLE_GRIDS = [
     "blank_subset_headers",
     "render_two_row_header",
     "blank_repeats",
+    "tag_only_cells",
 ]
 
 
