@@ -84,6 +84,7 @@ WHOLE_GRIDS = [
     "render_two_row_header",
     "blank_repeats",
     "tag_only_cells",
+    "blank_to_dash",
 ]
 
 
