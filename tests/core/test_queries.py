@@ -85,6 +85,7 @@ WHOLE_GRIDS = [
     "blank_repeats",
     "tag_only_cells",
     "blank_to_dash",
+    "covered_columns",
 ]
 
 
