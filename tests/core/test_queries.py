@@ -86,6 +86,7 @@ WHOLE_GRIDS = [
     "tag_only_cells",
     "blank_to_dash",
     "covered_columns",
+    "row_blank",
 ]
 
 
