@@ -87,6 +87,7 @@ WHOLE_GRIDS = [
     "blank_to_dash",
     "covered_columns",
     "row_blank",
+    "span_rows",
 ]
 
 
