@@ -352,6 +352,27 @@ def test_many_texts_around_a_frequent_pair_make_few_candidates(docs):
     assert [tuple(x) for x in near_dedup.missed(d, nodes, none, "doc_id", "text").collect()] == [(71, 70)]
 
 
+def test_kmers_dealt_into_many_parts_take_no_more_bytes(docs):
+    """Each text's k-mers fall apart into more parts as tables grow; what says whose they are must not grow with them. Copies are left out."""
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.getrandbits(20)}" for _ in range(300))) for i in range(200)]
+    d = docs([*rows, *[(1000 + i, t) for i, t in rows]])
+    nodes = near_dedup.cut(near_dedup.signatures(docs(rows), "doc_id", "text"))
+    for parts in (8, 400):
+        t = near_dedup._kmers_by_hash(d, nodes, "doc_id", "text", parts, 0.8).toArrow()
+        sizes = near_dedup._sizes(t, "keys")
+        assert 200 * 298 <= sizes.sum() <= 1.3 * 200 * 298 and sum(t.column(c).nbytes for c in t.column_names) / sizes.sum() < 6.5
+        number = near_dedup._from_steps(t.column("texts").to_pylist(), sizes)
+        assert len(number) == sizes.sum() and sum(near_dedup._sizes(t, "owners")) <= 1.3 * 200
+
+
+def test_numbers_in_few_bytes_are_the_same_numbers():
+    some = np.array([0, 1, 127, 128, 2**14 - 1, 2**14, 2**35, 2**60, 2**63 - 1, 5, 0], np.int64)
+    assert near_dedup._long(near_dedup._short(some)).tolist() == some.tolist() and not len(near_dedup._long(near_dedup._short(some[:0])))
+    one, none, two = np.array([3, 3, 2**40]), np.zeros(0, np.int64), np.array([2**50, 2**50 + 1])
+    assert near_dedup._from_steps([near_dedup._steps(x) for x in (one, none, two)], np.array([3, 0, 2])).tolist() == [*one, *two]
+
+
 def test_components_beyond_one_task(spark, monkeypatch):
     r = random.Random(3)
     edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)], "node bigint, pivot bigint")
